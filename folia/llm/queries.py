@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.llm.canonical import map_to_list
+from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
 from folia.runtime import read
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {"country": ("country", "country"), "institution": ("address_inst", "norm_institutions"), "journal": ("articles", "journal")}
+    parts = [read(spark, sf_dir, t).select(F.lit(name).alias("field_name"), F.col(c).alias("raw_value")) for name, (t, c) in columns.items()]
+    return map_to_list(parts[0].unionByName(parts[1]).unionByName(parts[2]), read(spark, sf_dir, "canonical_values"))
+
+
 def _p7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, address = read(spark, sf_dir, "articles"), read(spark, sf_dir, "address")
     zero = F.lit(0).cast("int").alias("idx_address")
@@ -28,6 +36,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("field_name", "pub_id", "idx_address").distinct()
 
 
+def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "test_items"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_spans(spark, sf_dir).select("doc_id", "item_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
