@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folia.llm.canonical import map_to_list
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
+from folia.llm.spam import find_spam
 from folia.runtime import read
 
 
@@ -44,6 +45,10 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_spans(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spam(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
