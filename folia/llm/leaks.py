@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 ITEM_LIMIT = 20_000
 LEAST = 14  # words of the item that a stretch spans
 SHARE = 0.76  # of these words that stand in the text, in order
+RARE_SHARE = 0.7  # the same with words weighted by their rarity among the items, which tells passages from set phrases
+SEED_MASS = 16.0  # weight of the item words in exact runs of three, below which no stretch can follow
 GAP_ITEM, GAP_TEXT, BREAK = 4, 5, 120  # words missing, words added, words of an interruption
 _TOKEN = re.compile(r"\w+|\x00")
 _CHUNK = 3_000_000
@@ -45,6 +47,13 @@ class Items:
         grams = [(*ws[p : p + 3], k, p) for k, ws in enumerate(self.words) for p in range(len(ws) - 2)]
         g = np.array(grams, np.int64).reshape(-1, 5)
         self.grams, self.item, self.at = g[:, :3], g[:, 3], g[:, 4]
+        holders = np.zeros(len(self.terms))
+        for ws in self.words:
+            holders[list(set(ws))] += 1
+        weight = np.minimum(np.log(1 + max(len(items), 20) / np.maximum(holders, 1)), 4.0)
+        self.mass = [[0.0, *np.cumsum(weight[ws]).tolist()] for ws in self.words]  # weight of the words before each
+        self.weight = np.concatenate([weight[ws] for ws in self.words] or [np.zeros(0)])
+        self.offset = np.r_[0, np.cumsum([len(ws) for ws in self.words])].astype(np.int64)
         self.where = [defaultdict(list) for _ in items]
         for k, ws in enumerate(self.words):
             for p, t in enumerate(ws):
@@ -53,9 +62,9 @@ class Items:
 
 def positions(texts: list[str], terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Term number at each position of the joined texts (-1: no item has it, -2: between texts), and the text it is in."""
-    get = terms.get
+    get = (terms | {"\x00": -2}).get
     tokens = _TOKEN.findall(" \x00 ".join(t.replace("\x00", " ") for t in texts).lower())
-    t = np.fromiter((-2 if w == "\x00" else get(w, -1) for w in tokens), np.int32, len(tokens))
+    t = np.array([get(w, -1) for w in tokens], np.int32)
     return t, np.cumsum(t == -2)
 
 
@@ -92,30 +101,28 @@ def phrase_hits(t: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_p), np.concatenate(out_g)
 
 
-def stretch(points: list[tuple[int, int]]) -> tuple[int, int]:
+def stretch(points: list[tuple[int, int]], mass: list[float]) -> tuple[int, int]:
     """Of (text position, item position) points: (item words spanned, of them matched) of the best chain in order."""
     points.sort()
-    best: list[tuple[float, int, int]] = []  # score, first item position, matched
+    at: dict[int, list[tuple[int, float, int, int, float]]] = {}  # by item position: text position, score, first item position, words matched, their weight
     top = (0, 0)
     rank = -1.0
-    low = 0
-    for n, (d, i) in enumerate(points):
-        while points[low][0] < d - BREAK:
-            low += 1
-        own = (1.0, i, 1)
-        for m in range(n - 1, low - 1, -1):
-            dd, di = d - points[m][0], i - points[m][1]
-            if dd <= 0 or not 0 < di <= GAP_ITEM:
-                continue
-            if dd > GAP_TEXT and di > 2:
-                continue
-            s, f, c = best[m]
-            cost = 2.0 * max(di - 1, min(dd - 1, 1)) + (2.0 if dd > GAP_TEXT else 0.0)
-            if s + 1 - cost > own[0]:
-                own = (s + 1 - cost, f, c + 1)
-        best.append(own)
+    for d, i in points:
+        w = mass[i + 1] - mass[i]
+        own = (1.0, i, 1, w)
+        for di in range(1, GAP_ITEM + 1):
+            reach = BREAK if di <= 2 else GAP_TEXT
+            for dd, s, f, c, g in reversed(at.get(i - di, ())):
+                gap = d - dd
+                if gap > reach:
+                    break
+                if gap:
+                    score = s + 1 - 2.0 * max(di - 1, gap > 1) - (2.0 if gap > GAP_TEXT else 0.0)
+                    if score > own[0]:
+                        own = (score, f, c + 1, g + w)
+        at.setdefault(i, []).append((d, *own))
         span = i - own[1] + 1
-        if own[2] >= SHARE * span and (span >= LEAST, own[0]) > (top[0] >= LEAST, rank):
+        if own[2] >= SHARE * span and own[3] >= RARE_SHARE * (mass[i + 1] - mass[own[1]]) and (span >= LEAST, own[0]) > (top[0] >= LEAST, rank):
             top, rank = (span, own[2]), own[0]
     return top
 
@@ -148,11 +155,15 @@ def _search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, i
     pair, p, g = pair[order], p[order], g[order]
     starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
     ends = np.r_[starts[1:], len(pair)]
+    number = np.repeat(np.arange(len(starts)), ends - starts)
+    places = items.offset[items.item[g]] + items.at[g]
+    total = len(items.weight)
+    covered = np.unique(np.concatenate([number * total + places + k for k in range(3)]))
+    mass = np.bincount(covered // total, items.weight[covered % total], len(starts))
     out = []
     edge = np.r_[np.flatnonzero(t == -2), len(t)]
-    for s, e in zip(starts, ends, strict=True):
-        if e - s < 2 or len({int(x) + k for x in items.at[g[s:e]] for k in range(3)}) < LEAST // 2:
-            continue
+    for n in np.flatnonzero((mass >= SEED_MASS) & (np.bincount(covered // total, minlength=len(starts)) >= LEAST // 2)):
+        s, e = starts[n], ends[n]
         doc, item = divmod(int(pair[s]), len(items.ids))
         left = int(edge[doc - 1]) + 1 if doc else 0
         right = int(edge[doc])
@@ -161,7 +172,7 @@ def _search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, i
             around.update(range(max(left, int(x) - 20), min(right, int(x) + 23)))
         where = items.where[item]
         points = [(d, i) for d in around for i in where.get(int(t[d]), ())]
-        span, matched = stretch(points)
+        span, matched = stretch(points, items.mass[item])
         if span >= LEAST:
             out.append((doc, item, span, matched))
     return out
