@@ -77,32 +77,41 @@ KIND_WORDS = {"univ": "univ university universite universitat universidad univer
 LONG_KINDS = {"research technology organisation": "rto", "national research organisation": "nro", "research site": "site", "cnrs lab": "cnrslab"}
 KIND_PARTS = ("research", "technology", "organisation", "national", "site", "university", "universite", "universitat", "universidad", "laboratory")
 NOISE_WORDS = ("main", "campus")
-STOP = {"of", "de", "the", "for", "at", "and", "in", "on", "to", "a", "la", "du", "des"}
+STOP = {"of", "de", "the", "for", "at", "and", "in", "on", "a", "la", "du", "des"}
+SHORT_KINDS = ("rto", "nro", "site", "univ", "lab")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _is_stop(word: str) -> bool:
+    """A stop word, or a short word one error away from one and from no kind of institution."""
+    if word in STOP:
+        return True
+    if not 3 <= len(word) <= 4 or any(distance(word, k, 1) <= 1 for k in SHORT_KINDS):
+        return False
+    return any(len(x) > 1 and distance(word, x, 1) <= 1 for x in STOP)
+
+
 def within(length: int) -> int:
     """Errors allowed in a text of this length."""
     return 0 if length < 4 else 1 if length < 7 else 2 if length < 16 else 3
 
 
-def _word_errors(length: int) -> int:
-    return 0 if length < 3 else 1 if length < 8 else 2
+STRICT, EASY = (3, 8, 99), (3, 4, 7)  # word lengths from which one, two and three errors are allowed
 
 
-def _words_near(a: str, b: str) -> bool:
+def _words_near(a: str, b: str, steps: tuple[int, int, int]) -> bool:
     x, y = a.split(), b.split()
-    return len(x) != len(y) or all(distance(p, q, 3) <= _word_errors(max(len(p), len(q))) for p, q in zip(x, y, strict=True))
+    return len(x) != len(y) or all(distance(p, q, 3) <= sum(max(len(p), len(q)) >= n for n in steps) for p, q in zip(x, y, strict=True))
 
 
-def nearest(trie: LevTrie, ids: dict[str, int], keys: list[str]) -> list[tuple[int, int]]:
+def nearest(trie: LevTrie, ids: dict[str, int], keys: list[str], steps: tuple[int, int, int] = STRICT) -> list[tuple[int, int]]:
     """For each key (distance, id) of the nearest alias within reach, (99, -1) if there is none."""
     best = [(99, -1)] * len(keys)
     ask = np.array([within(len(x)) for x in keys], int)
     for q, e, d in zip(*trie.search(keys, ask), strict=True):
         entry = trie.entries[e]
         new = (int(d), ids[entry])
-        if new < best[q] and (d == 0 or _words_near(keys[q], entry)):
+        if new < best[q] and (d == 0 or _words_near(keys[q], entry, steps)):
             best[q] = new
     return best
 
@@ -204,13 +213,17 @@ def institution_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]],
         out = []
         for m in re.finditer(r"([^\W_]+)(\.?)", fold_py(raw)):
             w = m[1]
-            if w in STOP:
+            if _is_stop(w):
                 continue
             if m[2] and w not in kinds and 2 < len(w) < 8:
                 full = [f for f in fields if f.startswith(w)]
                 w = full[0] if len(full) == 1 else w
             out.append(seen.get(w, w))
-        return " ".join(settle([w for w in out if w not in NOISE_WORDS]))
+        if "campus" in out:
+            at = out.index("campus")
+            out = [w for k, w in enumerate(out) if k != at and not (k == at - 1 and distance(w, "main", 2) <= 2)]
+        words = settle([w for w in out if w not in NOISE_WORDS])
+        return " ".join(w for w in words if len(w) > 1 or len(words) < 3)
 
     def match(values: list[str]) -> list[tuple[int, int]]:
         new = sorted({w for v in values for w in _WORD.findall(fold_py(v)) if len(w) > 3} - seen.keys())
@@ -220,7 +233,7 @@ def institution_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]],
             seen[new[q[i]]] = vocabulary.entries[e[i]]
         keys = [skeleton(v) for v in values]
         flat = sorted(set(keys))
-        near = dict(zip(flat, nearest(trie, alias, flat), strict=True))
+        near = dict(zip(flat, nearest(trie, alias, flat, EASY), strict=True))
         return [near[k] for k in keys]
 
     return match
@@ -249,16 +262,16 @@ def journal_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]], lis
         head, comma, tail = text.strip(" .,;").rpartition(",")
         text = f"{tail} {head}" if comma and not any(c.isdigit() for c in tail) else text
         words = words_of(text)
-        return " ".join(w for k, w in enumerate(words) if len(w) > 1 or k == 0)
+        return " ".join(w for k, w in enumerate(words) if k == 0 or (len(w) > 2 and (w in paths or not _is_stop(w))))
 
     def match(values: list[str]) -> list[tuple[int, int]]:
         keys = [skeleton(v) for v in values]
         flat = sorted(set(keys))
-        near = dict(zip(flat, nearest(trie, alias, flat), strict=True))
+        near = dict(zip(flat, nearest(trie, alias, flat, EASY), strict=True))
         open_keys = [k for k in flat if near[k][1] < 0 and k]
         words = sorted({w for k in open_keys for w in k.split()})
         reach: dict[str, dict[str, int]] = {w: dict.fromkeys(paths.get(w, ()), 0) for w in words}
-        asked = np.array([0 if len(w) < 5 else 1 for w in words], int)
+        asked = np.array([0 if len(w) < 3 else 1 for w in words], int)
         for q, e, d in zip(*cuts.search(words, asked), strict=True):
             for full in paths[cuts.entries[e]]:
                 old = reach[words[q]].get(full, 9)
@@ -290,7 +303,7 @@ def map_to_list(values: DataFrame, reference: DataFrame) -> DataFrame:
     known = listed.select("field_name", F.col("canonical").alias("raw_value"))
     values = values.join(known, ["field_name", "raw_value"], "left_anti")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    values = values.repartition(parts, "field_name", "raw_value")
+    values = values.repartition(parts, F.xxhash64("field_name", "raw_value"))
     places = locale_names(spark)
     blocks = max(1, -(-size // LIST_LIMIT))
     found = None
