@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folia.operators.packed import unpack
+from folia.runtime import read
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unpack(read(spark, sf_dir, "scopus_rawdata"), "eid", ["author_keywords", "affiliations", "cited_refs"], "loaded_at")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
