@@ -7,13 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folia.llm import sql
 from folia.llm.canonical import map_to_list
+from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, type_value
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
 from folia.llm.spam import find_spam
 from folia.runtime import read
 
 
+def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of each group with their precedence; the type as the list of types writes it."""
+    articles = read(spark, sf_dir, "articles").select("pub_id", "title", "doi", "document_type", "issn", "db", "indexed_at")
+    types = read(spark, sf_dir, "doc_types").select(type_value(F.col("alias")).alias("_alias"), F.col("document_type").alias("_type")).dropDuplicates(["_alias"])
+    trust = read(spark, sf_dir, "source_trust")
+    members = read(spark, sf_dir, "article_groups").select("group_id", "pub_id").distinct()
+    rows = members.join(articles, "pub_id").withColumn("_alias", type_value(F.col("document_type")))
+    return rows.join(types, "_alias", "left").join(trust, "db", "left").withColumn("trust_rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = {"doi": doi_value(F.col("doi")), "document_type": F.col("_type"), "issn": issn_value(F.col("issn"))}
+    recent = -F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**62)))
+    values = distinct_values(_p1_rows(spark, sf_dir), "group_id", fields, [F.col("trust_rank"), recent, F.col("pub_id")])
+    return represent(read(spark, sf_dir, "article_groups"), drop_beginnings(values, "group_id", "doi"), "group_id", list(fields))
+
+
+def p1_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title of each group that is closest to the consensus of its copies, trusted sources voting more."""
+    title = F.when(~F.trim("title").isin("", "unknown", "Unknown", "empty"), F.trim("title"))
+    rows = _p1_rows(spark, sf_dir)
+    values = distinct_values(rows, "group_id", {"title": title}, [F.col("trust_rank"), F.col("pub_id")], F.lit(1.0) / F.greatest("trust_rank", F.lit(1)))
+    return represent(read(spark, sf_dir, "article_groups"), values, "group_id", ["title"], precedence=False)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"country": ("country", "country"), "institution": ("address_inst", "norm_institutions"), "journal": ("articles", "journal")}
     parts = [read(spark, sf_dir, t).select(F.lit(name).alias("field_name"), F.col(c).alias("raw_value")) for name, (t, c) in columns.items()]
@@ -54,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": sql.P1_FOUND}
