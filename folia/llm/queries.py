@@ -12,6 +12,7 @@ from folia.llm.canonical import map_to_list
 from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, type_value
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
+from folia.llm.names import link_names, names_with_affiliations
 from folia.llm.spam import find_spam
 from folia.runtime import read
 
@@ -47,6 +48,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_list(parts[0].unionByName(parts[1]).unionByName(parts[2]), read(spark, sf_dir, "canonical_values"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = read(spark, sf_dir, "articles").select(F.col("authors").alias("name"))
+    cells = read(spark, sf_dir, "scopus_rawdata").select("authors_with_affiliations").filter("authors_with_affiliations is not null")
+    people = cells.select(F.explode(names_with_affiliations(F.col("authors_with_affiliations"))).alias("name"))
+    names = articles.unionByName(people).filter(F.col("name").isNotNull() & ~F.trim("name").isin("", "unknown", "Unknown", "empty"))
+    return link_names(names)
+
+
 def _p7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, address = read(spark, sf_dir, "articles"), read(spark, sf_dir, "address")
     zero = F.lit(0).cast("int").alias("idx_address")
