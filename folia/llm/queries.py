@@ -13,6 +13,7 @@ from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, iss
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
 from folia.llm.names import link_names, names_with_affiliations
+from folia.llm.places import link_addresses
 from folia.llm.spam import find_spam
 from folia.runtime import read
 
@@ -56,6 +57,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(names)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = F.col("address").isNotNull() & ~F.lower(F.trim("address")).rlike(r"^(?:\d+_)?unknown$|^empty$|^$")
+    return link_addresses(read(spark, sf_dir, "address").select("address").filter(known))
+
+
 def _p7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles, address = read(spark, sf_dir, "articles"), read(spark, sf_dir, "address")
     zero = F.lit(0).cast("int").alias("idx_address")
