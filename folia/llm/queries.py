@@ -12,6 +12,7 @@ from folia.llm.canonical import map_to_list
 from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, type_value
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
+from folia.llm.matching import match_sources
 from folia.llm.names import link_names, names_with_affiliations
 from folia.llm.places import link_addresses
 from folia.llm.spam import find_spam
@@ -49,6 +50,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_to_list(parts[0].unionByName(parts[1]).unionByName(parts[2]), read(spark, sf_dir, "canonical_values"))
 
 
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidate pairs with their confidence."""
+    return match_sources(read(spark, sf_dir, "articles"), read(spark, sf_dir, "wos_articles"), "pub_id", "ut")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_pairs(spark, sf_dir).filter("probability > 0.5").select("pub_id", "ut")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = read(spark, sf_dir, "articles").select(F.col("authors").alias("name"))
     cells = read(spark, sf_dir, "scopus_rawdata").select("authors_with_affiliations").filter("authors_with_affiliations is not null")
