@@ -14,6 +14,7 @@ from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import repair_lookalikes
 from folia.llm.matching import match_sources
 from folia.llm.names import link_names, names_with_affiliations
+from folia.llm.packing import pack_documents
 from folia.llm.places import link_addresses
 from folia.llm.spam import find_spam
 from folia.runtime import read
@@ -89,6 +90,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_repaired(spark, sf_dir).select("field_name", "pub_id", "idx_address").distinct()
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "capacities"))
+
+
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "test_items"))
 
