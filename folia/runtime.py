@@ -3,20 +3,30 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sys
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 
-def ship(module_name: str = "folia") -> None:
-    """Pickle this package's functions by value, so that executors need no copy of the repository."""
+
+def ship(spark: SparkSession | None = None, module_name: str = "folia") -> None:
+    """Makes this package known to Python workers: functions are pickled by value, and the rest is sent as a zip once per application."""
     from pyspark import cloudpickle
 
-    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    package = sys.modules[module_name]
+    cloudpickle.register_pickle_by_value(package)
+    if spark is not None and spark.sparkContext.applicationId not in _shipped:
+        home = os.path.dirname(os.path.abspath(package.__file__))
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="folia-"), module_name), "zip", os.path.dirname(home), module_name)
+        spark.sparkContext.addPyFile(made)
+        _shipped.add(spark.sparkContext.applicationId)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
