@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folia.functions import normalize as N
-from folia.operators import aggregate, dedup, explode, institutions, joins
+from folia.operators import aggregate, dedup, explode, institutions, joins, repair
 from folia.operators.packed import unpack
 from folia.plans.lookups import category_table, journal_table, town_table, type_table, zip_table
 from folia.runtime import read
@@ -219,6 +219,17 @@ def inst_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _institutions(spark, sf_dir)["countries"]
 
 
+def fix_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["authors", "affiliations", "authors_with_affiliations"]
+    return repair.repair_separators(_raw(spark, sf_dir).select("eid", "loaded_at", *columns).na.drop(subset=columns))
+
+
+def fix_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["authors", "author_full_names", "affiliations", "authors_with_affiliations"]
+    out = repair.repair_initials(_raw(spark, sf_dir).select("eid", "loaded_at", *columns).na.drop(subset=columns))
+    return out.withColumn("changed", F.array_join(F.transform("changed", lambda p: F.concat_ws(" > ", p["old"], p["new"])), "; "))
+
+
 norm_issn = _scalar("articles", "issn", ["pub_id"], "issn", N.normalize_issn)
 norm_year = _scalar("articles", "volume", ["pub_id"], "number", N.normalize_year)
 norm_journal = _scalar("articles", "journal", ["pub_id"], "journal", N.normalize_journal)
@@ -237,7 +248,7 @@ unknown_address = _scalar("address", "idx_address", ["pub_id"], "address", lambd
 
 
 def queries() -> dict[str, Query]:
-    prefixes = ("p3_", "exp_", "agg_", "dedup_", "similar_", "set_", "flt_", "fill_", "pivot_", "join_", "inst_", "norm_", "first_", "str_", "std_", "unknown_")
+    prefixes = ("p3_", "exp_", "agg_", "dedup_", "similar_", "set_", "flt_", "fill_", "pivot_", "join_", "inst_", "norm_", "first_", "str_", "std_", "unknown_", "fix_")
     return {name: f for name, f in globals().items() if name.startswith(prefixes) and callable(f)}
 
 

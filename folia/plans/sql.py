@@ -109,6 +109,34 @@ _CODED = f"""SELECT pub_id, coalesce(a.codes, b.codes, []) AS codes FROM article
 _TYPES = listed(t for t, _ in TYPES)
 _TOWN = "replace(replace(translate(lower(norm_institutions), '-''', '  '), ' lez ', ' les '), 'saint ', 'st ')"
 
+
+def _fix() -> str:
+    """Separators repaired, with list functions."""
+    n, p, e = (f"string_split({c}, '; ')" for c in ("authors", "affiliations", "authors_with_affiliations"))
+    bare = lambda x: f"list_transform({x}, lambda y: replace(y, ';', ''))"
+    commas = lambda x: f"list_transform({x}, lambda y: replace(replace(y, ';, ', ', '), ';', ', '))"
+    stray = lambda x: f"len(list_filter({x}, lambda y: regexp_matches(y, '[\\pL\\pN_]+;,\\s[\\pL\\pN_]+|[\\pL\\pN_]+;[\\pL\\pN_]+'))) > 0"
+    return f"""WITH l AS (SELECT *, {n} AS n, {p} AS p, {e} AS e, len({n}) <> len(string_split(authors_with_affiliations, ';')) AS d, len(list_filter({n}, lambda y: contains(y, ';'))) > 0 AS s
+      FROM scopus_rawdata WHERE authors IS NOT NULL AND affiliations IS NOT NULL AND authors_with_affiliations IS NOT NULL), m AS (SELECT *, CASE WHEN s THEN {bare('e')} ELSE e END AS f FROM l)
+      SELECT eid, loaded_at, CASE WHEN d AND s THEN array_to_string({bare('n')}, '; ') ELSE authors END AS authors, CASE WHEN d AND {stray('p')} THEN array_to_string({commas('p')}, '; ') ELSE affiliations END AS affiliations,
+      CASE WHEN d THEN array_to_string(CASE WHEN {stray('f')} THEN {commas('f')} ELSE f END, '; ') ELSE authors_with_affiliations END AS authors_with_affiliations,
+      CAST(d AND s AS INT) AS authors_status, CAST(d AND {stray('p')} AS INT) AS affiliations_status, CAST(d AND {stray('f')} AS INT) AS both_status FROM m"""
+
+
+def _standard_address() -> str:
+    text = standard("address")
+    for word, pattern in N.ADDRESS_WORDS.items():
+        text = f"regexp_replace({text}, {q(pattern)}, {q(word + ' ')}, 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), '\\s,', ',', 'g')"
+    last = "string_split(string_split(t, ',')[-1], ' - ')[-1]"
+    return f"""SELECT pub_id, idx_address, CASE WHEN c = 'Unknown' THEN t || ', ' || c WHEN len(string_split(t, ',')) > 1 THEN array_to_string(string_split(t, ',')[:-2], ',') || ', ' || c ELSE ' ' || c END AS address
+      FROM (SELECT *, {country(f"trim({last})")} AS c FROM (SELECT pub_id, idx_address, {text} AS t FROM address WHERE address IS NOT NULL))"""
+
+
+_FIX, _STANDARD = _fix(), _standard_address()
+_SPLIT = f"""SELECT address, array_to_string(list_transform(flatten(list_transform(k, lambda x: string_split_regex(x, ' - | \\| '))), lambda x: {strip('x')}), '|') AS chunks, k[-1] AS country
+  FROM (SELECT address, list_filter(l, lambda x, i: NOT list_contains(l[i + 1:], x)) AS k FROM (SELECT DISTINCT address, list_transform(string_split(address, ','), lambda x: {strip('x')}) AS l FROM address WHERE address IS NOT NULL))"""
+
 SQL = {
     "exp_authors": f"""SELECT pub_id, CAST(i - 1 AS INT) AS idx_author, l[i] AS co_author FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM (
       SELECT pub_id, list_filter(list_transform(string_split(authors, CASE WHEN contains(authors, ';') THEN ';' ELSE ',' END), lambda x: replace(x, '.', '')), lambda x: x NOT IN {listed(SKIPPED_AUTHORS)}) AS l
@@ -116,6 +144,9 @@ SQL = {
     "exp_author_keywords": KEYWORDS.format(c="author_keywords", strip=strip("lower(r)")),
     "exp_index_keywords": KEYWORDS.format(c="index_keywords", strip=strip("lower(r)")),
     "exp_parted": f"SELECT * FROM (SELECT pub_id, {strip('r')} AS subject FROM (SELECT pub_id, unnest(string_split(index_keywords, ';')) AS r FROM scopus_rawdata WHERE index_keywords IS NOT NULL)) WHERE subject <> ''",
+    "fix_separators": _FIX,
+    "std_address": _STANDARD,
+    "inst_split": _SPLIT,
     "norm_issn": "SELECT pub_id, CASE WHEN d = '' THEN 'unknown' ELSE substr(d, 1, 4) || '-' || substr(d, 5) END AS issn FROM (SELECT pub_id, array_to_string(regexp_extract_all(issn, '^\\d{8}|\\d{4}|\\d{3}X'), '') AS d FROM articles WHERE issn IS NOT NULL)",
     "norm_year": "SELECT pub_id, coalesce(TRY_CAST(trunc(TRY_CAST(volume AS DOUBLE)) AS INT), 0) AS number FROM articles WHERE volume IS NOT NULL",
     "norm_journal": f"SELECT pub_id, {journal('journal')} AS journal FROM articles WHERE journal IS NOT NULL",
