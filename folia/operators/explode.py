@@ -55,6 +55,13 @@ def _address_tables(listed: DataFrame, pub_id: str) -> dict[str, DataFrame]:
     }
 
 
+def valid_affiliations(cell: Column, strict: bool = False) -> Column:
+    """Affiliations that end with a country, joined again; `unknown` if none is left. Unless strict a country that isn't known counts too."""
+    last = lambda x: normalize_country(strip(F.element_at(F.split(x, ", "), -1)))
+    kept = F.filter(F.split(cell, "; "), lambda x: (last(x) != NO_COUNTRY) | F.lit(not strict))
+    return F.coalesce(F.nullif(F.array_join(kept, "; "), F.lit("")), F.lit(UNKNOWN))
+
+
 def author_chunks(cell: Column) -> Column:
     """The entries of a cell of authors with affiliations: (name, text), the name ending at the first or second comma."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from folia.functions.normalize import ADDRESS_WORDS, CHUNK_SYMBOLS, DASHES, DROPPED_SYMBOLS, EMPTY, QUOTES, normalize_country, normalize_town, replace_chars, strip, without_accents
+from folia.runtime import cut
 
 LOOKUP_LIMIT = 2_000_000  # rows of a lookup table that is broadcast; larger ones are joined by shuffle
 
@@ -74,9 +75,8 @@ def chunk_flags(chunk: Column, country: Column, is_town: Column, zip_pattern: Co
     )
 
 
-def keep_chunks(flags: Column, country: Column) -> Column:
-    """The chunks that stay: one pass over the flags with a bit that stops it."""
-    n = F.size(flags)
+def keep_chunks(flags: Column, country: Column, n: Column) -> Column:
+    """Numbers of the chunks that stay: one pass over the n flags with a bit that stops it."""
     local = country.isin("France", "Algeria")
     indexed = F.transform(flags, lambda f, i: F.struct(f.alias("f"), i.alias("i")))
 
@@ -153,9 +153,10 @@ def affiliations_of(addresses: DataFrame, towns: DataFrame, zips: DataFrame, dro
     places = towns.groupBy("country").agg(F.collect_set(normalize_town(F.col("town"))).alias("towns"))
     cut_up = cut_up.join(_lookup(places), "country", "left").withColumn("towns", F.coalesce("towns", F.array().cast("array<string>")))
     flags = F.transform("folded", lambda c: chunk_flags(c, F.col("country"), F.array_contains("towns", F.translate(c, "-'", "  ")), F.col("pattern")))
-    kept = keep_chunks(F.filter(flags, lambda f: F.lit(True)), F.col("country")) if drop else F.sequence(F.lit(0), F.size("chunks") - 1)
+    cut_up = cut_up.withColumns({"flags": flags, "n": F.size("chunks")})
+    cut_up = cut_up.withColumn("kept", keep_chunks(F.col("flags"), F.col("country"), F.col("n")) if drop else F.sequence(F.lit(0), F.col("n") - 1))
     aliases = F.array(F.col("country"), *[F.lit(a) for a in ("England", "Wales", "North Ireland", "Scotland")])
-    named = F.filter(F.transform(kept, lambda i: F.col("chunks")[i]), lambda c: ~F.array_contains(aliases, c) & (c != ""))
+    named = F.filter(F.transform("kept", lambda i: F.get("chunks", i)), lambda c: ~F.array_contains(aliases, c) & (c != ""))
     return cut_up.select("address", "country", named.alias("affiliations"))
 
 
@@ -187,7 +188,7 @@ def match_institutions(affiliations: DataFrame, words: DataFrame, types: DataFra
 
 def build_institutions(addresses: DataFrame, words: DataFrame, types: DataFrame, towns: DataFrame, zips: DataFrame) -> dict[str, DataFrame]:
     """countries, norm_institutions, raw_institutions of an address table (pub_id, idx_address, address), addresses standardised."""
-    resolved = match_institutions(affiliations_of(addresses, towns, zips), words, types)
+    resolved = match_institutions(cut(affiliations_of(addresses, towns, zips)), cut(words), types)
     rows = addresses.join(resolved, "address")
     return {
         "countries": rows.select("pub_id", "idx_address", normalize_country(F.col("country")).alias("country")),

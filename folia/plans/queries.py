@@ -219,6 +219,18 @@ def inst_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _institutions(spark, sf_dir)["countries"]
 
 
+def sort_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "address").orderBy("pub_id", "idx_address", "address")
+
+
+def sort_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg_word_counts(spark, sf_dir).orderBy(F.desc("n"), "keyword")
+
+
+def top_first_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _raw(spark, sf_dir).filter("authors is not null").select("eid", F.element_at(F.split("authors", ";"), 1).alias("author"))
+
+
 def fix_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["authors", "affiliations", "authors_with_affiliations"]
     return repair.repair_separators(_raw(spark, sf_dir).select("eid", "loaded_at", *columns).na.drop(subset=columns))
@@ -230,6 +242,7 @@ def fix_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("changed", F.array_join(F.transform("changed", lambda p: F.concat_ws(" > ", p["old"], p["new"])), "; "))
 
 
+flt_valid_affiliations = _scalar("scopus_rawdata", "affiliations", ["eid"], "affiliations", explode.valid_affiliations)
 norm_issn = _scalar("articles", "issn", ["pub_id"], "issn", N.normalize_issn)
 norm_year = _scalar("articles", "volume", ["pub_id"], "number", N.normalize_year)
 norm_journal = _scalar("articles", "journal", ["pub_id"], "journal", N.normalize_journal)
@@ -248,7 +261,7 @@ unknown_address = _scalar("address", "idx_address", ["pub_id"], "address", lambd
 
 
 def queries() -> dict[str, Query]:
-    prefixes = ("p3_", "exp_", "agg_", "dedup_", "similar_", "set_", "flt_", "fill_", "pivot_", "join_", "inst_", "norm_", "first_", "str_", "std_", "unknown_", "fix_")
+    prefixes = ("p3_", "exp_", "agg_", "dedup_", "similar_", "set_", "flt_", "fill_", "pivot_", "join_", "inst_", "norm_", "first_", "str_", "std_", "unknown_", "fix_", "sort_", "top_")
     return {name: f for name, f in globals().items() if name.startswith(prefixes) and callable(f)}
 
 

@@ -144,6 +144,10 @@ SQL = {
     "exp_author_keywords": KEYWORDS.format(c="author_keywords", strip=strip("lower(r)")),
     "exp_index_keywords": KEYWORDS.format(c="index_keywords", strip=strip("lower(r)")),
     "exp_parted": f"SELECT * FROM (SELECT pub_id, {strip('r')} AS subject FROM (SELECT pub_id, unnest(string_split(index_keywords, ';')) AS r FROM scopus_rawdata WHERE index_keywords IS NOT NULL)) WHERE subject <> ''",
+    "sort_items": "SELECT * FROM address ORDER BY pub_id, idx_address, address",
+    "sort_frequency": f"SELECT keyword, count(*) AS n FROM ({TITLE_WORDS}) GROUP BY 1 ORDER BY 2 DESC, 1",
+    "top_first_author": "SELECT eid, string_split(authors, ';')[1] AS author FROM scopus_rawdata WHERE authors IS NOT NULL",
+    "flt_valid_affiliations": "SELECT eid, coalesce(nullif(affiliations, ''), 'unknown') AS affiliations FROM scopus_rawdata WHERE affiliations IS NOT NULL",
     "fix_separators": _FIX,
     "std_address": _STANDARD,
     "inst_split": _SPLIT,

@@ -187,3 +187,11 @@ def test_whole_corpora(spark):
     for name, table in both.items():
         assert {r[0] for r in table.select("pub_id").distinct().collect()} <= ids, name
     assert pipeline.success_rates(a, a["articles"]).count() == len(a) - 1
+
+
+def test_layout(tmp_path):
+    from folia.sources.layout import Layout
+
+    layout = Layout(str(tmp_path))
+    layout.create("2024")
+    assert (tmp_path / "2024/Corpus/scopus/rawdata").is_dir() and len(layout.paths("2024")) == 6
