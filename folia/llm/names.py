@@ -47,8 +47,10 @@ NICKNAMES = {
     "jo": "josephine", "josie": "josephine", "fran": "francesca", "chris": "christopher", "sue": "susan", "suzie": "susan", "ben": "benjamin", "sam": "samuel", "dan": "daniel", "danny": "daniel", "dave": "david", "steve": "stephen",
     "joe": "joseph", "jack": "john", "johnny": "john", "harry": "henry", "hank": "henry", "charlie": "charles", "chuck": "charles", "andy": "andrew", "drew": "andrew", "alex": "alexander", "sasha": "alexander", "sandy": "alexander",
     "matt": "matthew", "greg": "gregory", "jeff": "jeffrey", "ken": "kenneth", "larry": "lawrence", "pat": "patrick", "pete": "peter", "phil": "philip", "ray": "raymond", "ron": "ronald", "tim": "timothy", "vicky": "victoria",
-    "becky": "rebecca", "debbie": "deborah", "jenny": "jennifer", "jen": "jennifer", "mandy": "amanda", "nan": "nancy", "patty": "patricia", "trish": "patricia", "sally": "sarah", "theo": "theodore", "abby": "abigail", "gus": "gustav", "max": "maximilian", "bella": "isabella", "bea": "beatriz", "andi": "andreas", "vic": "viktor", "lex": "alexander", "nadi": "nadia", "hans": "johannes", "sepp": "josef", "toni": "antonio", "pepe": "jose", "paco": "francisco", "lupe": "guadalupe",
+    "becky": "rebecca", "debbie": "deborah", "jenny": "jennifer", "jen": "jennifer", "mandy": "amanda", "nan": "nancy", "patty": "patricia", "trish": "patricia", "sally": "sarah", "theo": "theodore", "abby": "abigail", "gus": "gustav", "max": "maximilian", "bella": "isabella", "cesca": "francesca", "bea": "beatriz", "andi": "andreas", "vic": "viktor", "lex": "alexander", "nadi": "nadia", "hans": "johannes", "sepp": "josef", "toni": "antonio", "pepe": "jose", "paco": "francisco", "lupe": "guadalupe",
 }
+# Initials of short forms and those of the names they stand for
+NICK_INITIALS = {n[0]: "".join(sorted({f[0] for m, f in NICKNAMES.items() if m[0] == n[0] and f[0] != n[0]})) for n in NICKNAMES}
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.-?)+[^\W\d_]?\.?$")
 _KEYS = {c: (r, k + 0.4 * r) for r, row in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for k, c in enumerate(row)}
 
@@ -323,9 +325,23 @@ def link_halves(ways: DataFrame) -> DataFrame:
     return good.select("name", F.col("half").alias("surname")).distinct()
 
 
+def short_form(full_1: str, initials_1: str, full_2: str, initials_2: str) -> bool:
+    """Whether one lone initial is that of a short form of the other's first name: `T.` for Anthony, `B.` for William."""
+    ways = ((initials_1, full_2, initials_2, full_1), (initials_2, full_1, initials_1, full_2))
+    for nick, full, initials, own in ways:
+        if own or len(nick) != 1 or not initials or initials == "*":
+            continue
+        if full:
+            if any(n[0] == nick and f == full for n, f in NICKNAMES.items()):
+                return True
+        elif initials[0] in NICK_INITIALS.get(nick, ""):
+            return True
+    return False
+
+
 @F.pandas_udf(IntegerType())
 def _agreement(f1: pd.Series, i1: pd.Series, f2: pd.Series, i2: pd.Series) -> pd.Series:
-    return pd.Series([agree(*x) for x in zip(f1, i1, f2, i2, strict=True)], dtype="int32")
+    return pd.Series([agree(*x) or int(short_form(*x)) for x in zip(f1, i1, f2, i2, strict=True)], dtype="int32")
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -341,7 +357,10 @@ def link_names(names: DataFrame) -> DataFrame:
     given = ways.select("name", "full", "initials")
     under = ways.select("name", "surname").unionByName(more.select("name", "surname")).distinct()
     rooted = under.join(roots, "surname", "left").select("name", F.coalesce("root", "surname").alias("root")).distinct().join(given, "name")
-    first = F.array_distinct(F.array(F.substring("initials", 1, 1), F.substring(_full_form("full"), 1, 1)))
+    letter = F.substring("initials", 1, 1)
+    formal = F.create_map(*[F.lit(x) for kv in NICK_INITIALS.items() for x in kv])
+    lone = F.when((F.col("full") == "") & (F.length("initials") == 1), F.split(F.coalesce(F.try_element_at(formal, letter), F.lit("")), "")).otherwise(F.array().cast("array<string>"))
+    first = F.array_distinct(F.concat(F.array(letter, F.substring(_full_form("full"), 1, 1)), lone))
     placed = cut(rooted.select("name", "root", "full", "initials", F.explode(F.filter(first, lambda c: c != "")).alias("first")))
     other = placed.select(F.col("name").alias("name_2"), "root", "first", F.col("full").alias("f2"), F.col("initials").alias("i2"))
     met = placed.withColumnRenamed("name", "name_1").join(other, ["root", "first"]).filter("name_1 < name_2")
