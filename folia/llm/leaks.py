@@ -27,10 +27,13 @@ ITEM_LIMIT = 20_000
 LEAST = 14  # words of the item that a stretch spans
 SHARE = 0.76  # of these words that stand in the text, in order
 RARE_SHARE = 0.7  # the same with words weighted by their rarity among the items, which tells passages from set phrases
-SEED_MASS = 16.0  # weight of the item words in exact runs of three, below which no stretch can follow
+EDITED = 7  # one word in so many exchanged, dropped or added is borne whatever the words weigh
+SEEDS = 5  # of LEAST item words in a row, those in exact runs of three: two edits and an interruption, or three edits, leave so many
 GAP_ITEM, GAP_TEXT, BREAK = 4, 5, 120  # words missing, words added, words of an interruption
 _TOKEN = re.compile(r"\w+|\x00")
 _CHUNK = 3_000_000
+_WORD = 1e3  # above any weight of an item's words
+_SCORE = 1e7  # above any number of an item's words in _WORD
 
 
 def words(text: str) -> list[str]:
@@ -102,31 +105,56 @@ def phrase_hits(t: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretch(points: list[tuple[int, int]], mass: list[float]) -> tuple[int, int]:
-    """Of (text position, item position) points: (item words spanned, of them matched) of the best chain in order."""
+    """Of (text position, item position) points: (item words spanned, of them matched) of the best chain in order.
+
+    A chain is kept for every item position it can start from, and none is given up when its score falls, so words exchanged, dropped
+    or added weigh the same wherever they stand. One number holds score, words matched and their weight, in this order.
+    """
     points.sort()
-    at: dict[int, list[tuple[int, float, int, int, float]]] = {}  # by item position: text position, score, first item position, words matched, their weight
-    top = (0, 0)
-    rank = -1.0
+    before = np.array(mass)
+    at: dict[int, list[tuple[int, np.ndarray | None, int]]] = {}  # by item position: text position, best chain from each start (None: the point alone), most words
+    top, rank = (0, 0), 0.0
     for d, i in points:
-        w = mass[i + 1] - mass[i]
-        own = (1.0, i, 1, w)
-        for di in range(1, GAP_ITEM + 1):
+        own, most = None, 0
+        for di in range(1, min(GAP_ITEM, i) + 1):
             reach = BREAK if di <= 2 else GAP_TEXT
-            for dd, s, f, c, g in reversed(at.get(i - di, ())):
+            j = i - di
+            for dd, chains, count in reversed(at.get(j, ())):
                 gap = d - dd
                 if gap > reach:
                     break
                 if gap:
-                    score = s + 1 - 2.0 * max(di - 1, gap > 1) - (2.0 if gap > GAP_TEXT else 0.0)
-                    if score > own[0]:
-                        own = (score, f, c + 1, g + w)
-        at.setdefault(i, []).append((d, *own))
-        span = i - own[1] + 1
-        if own[2] >= SHARE * span and own[3] >= RARE_SHARE * (mass[i + 1] - mass[own[1]]) and (span >= LEAST, own[0]) > (top[0] >= LEAST, rank):
-            top, rank = (span, own[2]), own[0]
+                    gain = (1.0 - 2.0 * max(di - 1, gap > 1) - (2.0 if gap > GAP_TEXT else 0.0)) * _SCORE
+                    if own is None:
+                        own = np.full(i + 1, -np.inf)
+                    if chains is None:
+                        own[j] = max(own[j], gain + _SCORE + _WORD + mass[j + 1] - mass[j])
+                    else:
+                        np.maximum(own[: j + 1], chains + gain, out=own[: j + 1])
+                    most = max(most, count)
+        most += 1
+        if own is not None:
+            own[i] = _SCORE
+            own += _WORD + mass[i + 1] - mass[i]
+        at.setdefault(i, []).append((d, own, most))
+        if own is not None and i + 1 >= LEAST and most >= SHARE * LEAST and (far := own[: i + 2 - LEAST]).max() >= _SCORE:
+            first = np.flatnonzero(far >= _SCORE)
+            score, rest = np.divmod(far[first], _SCORE)
+            matched, weight = np.divmod(rest, _WORD)
+            span = i + 1 - first
+            kept = (matched >= SHARE * span) & (weight >= RARE_SHARE * (mass[i + 1] - before[first]))
+            kept |= (matched - score) / 2 <= span / EDITED
+            if kept.any() and score[kept].max() > rank:
+                best = np.flatnonzero(kept)[score[kept].argmax()]
+                top, rank = (int(span[best]), int(matched[best])), score[best]
     return top
 
 
+def _dense(places: np.ndarray) -> int:
+    """Most of the sorted places within LEAST of each other."""
+    return int((np.searchsorted(places, places + LEAST) - np.arange(len(places))).max(initial=0))
+
+
 def _search(batches: Iterator[pd.DataFrame], items: Items) -> Iterator[pd.DataFrame]:
     for b in batches:
         ids, texts = list(b["id"]), list(b["text"])
@@ -159,22 +187,34 @@ def _search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, i
     places = items.offset[items.item[g]] + items.at[g]
     total = len(items.weight)
     covered = np.unique(np.concatenate([number * total + places + k for k in range(3)]))
-    mass = np.bincount(covered // total, items.weight[covered % total], len(starts))
+    dense = np.searchsorted(covered, covered + LEAST) - np.arange(len(covered))
+    most = np.zeros(len(starts), np.int64)
+    np.maximum.at(most, covered // total, dense)
     out = []
+    near = np.zeros(len(items.terms) + 2, bool)  # with room for the two marks at its end
     edge = np.r_[np.flatnonzero(t == -2), len(t)]
-    for n in np.flatnonzero((mass >= SEED_MASS) & (np.bincount(covered // total, minlength=len(starts)) >= LEAST // 2)):
+    for n in np.flatnonzero(most >= SEEDS):
         s, e = starts[n], ends[n]
         doc, item = divmod(int(pair[s]), len(items.ids))
         left = int(edge[doc - 1]) + 1 if doc else 0
         right = int(edge[doc])
-        around = set()
-        for x in p[s:e]:
-            around.update(range(max(left, int(x) - 20), min(right, int(x) + 23)))
+        around = (p[s:e, None] + np.arange(-20, 23)).ravel()
+        around = around[(around >= left) & (around < right)]
+        near[t[around]] = True
+        met = near[items.words[item]]
+        near[t[around]] = False
+        if _dense(np.flatnonzero(met)) < LEAST - GAP_ITEM:
+            continue
         where = items.where[item]
-        points = [(d, i) for d in around for i in where.get(int(t[d]), ())]
-        span, matched = stretch(points, items.mass[item])
-        if span >= LEAST:
-            out.append((doc, item, span, matched))
+        points = sorted((d, i) for d in np.unique(around).tolist() for i in where.get(int(t[d]), ()))
+        at = np.array(points)
+        top = (0, 0)
+        for c in np.split(np.arange(len(points)), np.flatnonzero(np.diff(at[:, 0]) > BREAK) + 1):  # no chain goes on across these
+            seeds = items.at[g[s:e]][(p[s:e] >= at[c[0], 0]) & (p[s:e] <= at[c[-1], 0])]
+            if _dense(np.unique(seeds[:, None] + np.arange(3))) >= SEEDS and _dense(np.unique(at[c, 1])) >= LEAST - GAP_ITEM:
+                top = max(top, stretch([points[k] for k in c], items.mass[item]))
+        if top[0] >= LEAST:
+            out.append((doc, item, *top))
     return out
 
 

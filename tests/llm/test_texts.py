@@ -68,6 +68,21 @@ def test_leaks(spark, rows):
     assert leaks.find_leaks(docs, items.limit(0)).count() == 0 == leaks.find_leaks(docs.limit(0), items).count()
 
 
+def test_two_edits_in_any_place_of_fourteen_words():
+    words = ITEM.lower().split()
+    index = leaks.Items([(7, ITEM)])
+    filler = ["filler"] * 30
+    for start in (0, 9, len(words) - leaks.LEAST):
+        texts = []
+        for a, b in itertools.combinations(range(1, leaks.LEAST - 1), 2):
+            w = words[start : start + leaks.LEAST]
+            texts.append([*w[:a], "other", *w[a + 1 : b], "other", *w[b + 1 :]])
+            texts.append([*w[:a], *w[a + 1 : b], *w[b + 1 :]])
+            texts.append([*w[:a], "other", *w[a:b], "other", *w[b:]])
+        found = leaks._search_shard([" ".join([*filler, *t, *filler]) for t in texts], index)
+        assert {d for d, *_ in found} == set(range(len(texts)))
+
+
 def test_phrase_hits_are_all_runs_of_three():
     rng = random.Random(1)
     vocab = list("abcde")
