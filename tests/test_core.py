@@ -139,6 +139,18 @@ def test_similarity_rule(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and difflib
 
 
+def test_similar_pairs_are_all_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = ["frontline applied thermal storage", "seasonal zeolites for soil remediation", "annals of porous alloys and cold storage reports", "letters in digital enzyme kinetics and more"]
+    typed = lambda t: "".join(rng.choice("xq") + c if rng.random() < 0.06 else "" if rng.random() < 0.05 else rng.choice("abe") if rng.random() < 0.05 else c for c in t)
+    texts = sorted({typed(t) for t in base for _ in range(40)} | {"frontline aplpied hermal storage", "Seasonal zeolitws for soil reemdiation", "Seasοnal zeοlites fοr soil remediatiοn", *base})
+    values = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "value string, first long")
+    want = {(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if dedup.similar(a, b)}
+    assert {(r.a, r.b) for r in dedup.similar_pairs(values).collect()} == want
+    monkeypatch.setattr(dedup, "BLOCK", 20)
+    assert {(r.a, r.b) for r in dedup.similar_pairs(values).collect()} == want
+
+
 def test_lookups_and_sets(spark, rows):
     a = spark.createDataFrame([(1, "Letters in Digital Enzyme Kinetics", "x"), (2, "zzz", "9011-0072"), (3, None, None)], "pub_id long, journal string, issn string")
     coded = joins.journal_categories(a, journal_table(spark), "pub_id", "journal", "issn")
