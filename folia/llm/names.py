@@ -206,8 +206,16 @@ def settle_order(ways: DataFrame) -> DataFrame:
 
 
 def trie_join(surnames: DataFrame) -> DataFrame:
-    """(a, b), a < b: the surnames within one error of each other, of a table with the distinct column `surname`."""
+    """(a, b), a < b: the surnames within one error of each other, of a table with the distinct column `surname`.
+
+    One error leaves the first or the last letters of five or more. Shorter surnames, where it may leave neither, also meet under their
+    forms with one letter less and, for a swap, under their letters in order.
+    """
     s, size = F.col("surname"), F.length("surname")
+    places = F.sequence(F.lit(1), size)
+    less = F.transform(places, lambda k: F.concat(F.lit("d"), F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, size)))
+    letters = F.array_join(F.array_sort(F.transform(places, lambda k: F.substring(s, k, F.lit(1)))), "")
+    tiny = F.when(size <= 4, F.array_distinct(F.concat(less, F.array(F.concat(F.lit("d"), s), F.concat(F.lit("o"), letters))))).otherwise(F.array().cast("array<string>"))
     keys = F.array_compact(
         F.array(
             F.when((size >= 3) & (size <= 8), F.concat(F.lit("p2"), F.substring(s, 1, 2))),
@@ -216,8 +224,8 @@ def trie_join(surnames: DataFrame) -> DataFrame:
             F.when(size >= 7, F.concat(F.lit("s3"), F.right(s, F.lit(3)))),
         )
     )
-    sharded = surnames.select(s, F.explode(keys).alias("shard"))
-    blocks = sharded.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sharded = surnames.select(s, F.explode(F.concat(keys, tiny)).alias("shard"))
+    blocks = sharded.groupBy("shard").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("size > 1").drop("size")
     placed = sharded.join(blocks, "shard").withColumn("own", F.pmod(F.xxhash64("surname"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least("own", b).alias("e"), F.greatest("own", b).alias("q")))
     grid = placed.select("shard", "surname", "own", F.inline(meet))
