@@ -327,7 +327,7 @@ def link_surnames(ways: DataFrame) -> DataFrame:
 def link_halves(ways: DataFrame) -> DataFrame:
     """(name, surname): halves of double surnames under which the same given names are met, as further surnames of the name."""
     halves = ways.filter("halves != ''").select("name", "n", "full", "initials", "surname", F.explode(F.split("halves", " ")).alias("half"))
-    single = ways.filter("initials != '*'").groupBy(F.col("surname").alias("half"), F.col("initials").alias("i2")).agg(F.max("full").alias("f2"))
+    single = ways.filter("initials != '*'").select(F.col("surname").alias("half"), F.col("initials").alias("i2"), F.col("full").alias("f2")).distinct()
     met = halves.join(single, "half").withColumn("level", _agreement("full", "initials", "f2", "i2"))
     good = met.filter(F.col("level") >= 2)
     return good.select("name", F.col("half").alias("surname")).distinct()
