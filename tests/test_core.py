@@ -126,6 +126,13 @@ def test_leader_clustering_against_a_loop(spark):
         assert {r.value: r.leader for r in dedup.leaders(values, edges).collect()} == want
 
 
+def test_leaders_of_a_long_chain(spark):
+    n = 56
+    values = spark.createDataFrame([(str(i), i) for i in range(n)], "value string, first long")
+    edges = spark.createDataFrame([(str(i), str(i + 1), i, i + 1) for i in range(n - 1)], "a string, b string, fa long, fb long")
+    assert {int(r.value): int(r.leader) for r in dedup.leaders(values, edges).collect()} == {i: i - i % 2 for i in range(n)}
+
+
 def test_similarity_rule(spark):
     a = "international journal of thermal storage systems"
     assert dedup.similar(a, "international journal of thermal storage system") and dedup.similar(a, "journal of thermal storage systems international")
