@@ -3,10 +3,12 @@
 Method: a positional inverted index distributed by document. Every task stores the postings (term, position) of its
 documents; for each run of three item words the list of its rarest term is shifted by the term's offset and intersected
 with the lists of the other two. Exact phrases appear as hits on one diagonal; the hits of a document and an item are
-chained in order into proximity matches that bear exchanged, dropped and added words and interruptions.
+chained in order into proximity matches that bear exchanged, dropped and added words and an interruption of any length; each of
+the two parts around an interruption must hold a run of three item words to be seen.
 
 The index never leaves the task that built it, so nothing is shuffled but the matches. The test items go to every task:
-up to ITEM_LIMIT of them at once, more in blocks of that size.
+up to ITEM_LIMIT characters of them at once, more in blocks of about that size. An item is judged by its own words alone, so
+neither the other items nor the blocks change what is found.
 
 Defined cases: a NULL or empty text carries nothing; an item of fewer than `least` words can't be carried; repeated rows
 give one row; texts of any length are searched whole; other columns are ignored.
@@ -23,17 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ITEM_LIMIT = 20_000
+ITEM_LIMIT = 8_000_000  # characters of items that are sent to every task at once
 LEAST = 14  # words of the item that a stretch spans
-SHARE = 0.76  # of these words that stand in the text, in order
-RARE_SHARE = 0.7  # the same with words weighted by their rarity among the items, which tells passages from set phrases
-EDITED = 7  # one word in so many exchanged, dropped or added is borne whatever the words weigh
+EDITED = 7  # one word in so many may be exchanged, dropped or added
 SEEDS = 5  # of LEAST item words in a row, those in exact runs of three: two edits and an interruption, or three edits, leave so many
-GAP_ITEM, GAP_TEXT, BREAK = 4, 5, 120  # words missing, words added, words of an interruption
+MISSING = 3  # words that the best LEAST item words in a row of any stretch lack at most
+GAP_ITEM, GAP_TEXT = 4, 5  # steps over missing words and over added ones; more added words are an interruption
 _TOKEN = re.compile(r"\w+|\x00")
 _CHUNK = 3_000_000
-_WORD = 1e3  # above any weight of an item's words
-_SCORE = 1e7  # above any number of an item's words in _WORD
 
 
 def words(text: str) -> list[str]:
@@ -50,12 +49,6 @@ class Items:
         grams = [(*ws[p : p + 3], k, p) for k, ws in enumerate(self.words) for p in range(len(ws) - 2)]
         g = np.array(grams, np.int64).reshape(-1, 5)
         self.grams, self.item, self.at = g[:, :3], g[:, 3], g[:, 4]
-        holders = np.zeros(len(self.terms))
-        for ws in self.words:
-            holders[list(set(ws))] += 1
-        weight = np.minimum(np.log(1 + max(len(items), 20) / np.maximum(holders, 1)), 4.0)
-        self.mass = [[0.0, *np.cumsum(weight[ws]).tolist()] for ws in self.words]  # weight of the words before each
-        self.weight = np.concatenate([weight[ws] for ws in self.words] or [np.zeros(0)])
         self.offset = np.r_[0, np.cumsum([len(ws) for ws in self.words])].astype(np.int64)
         self.where = [defaultdict(list) for _ in items]
         for k, ws in enumerate(self.words):
@@ -104,50 +97,48 @@ def phrase_hits(t: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_p), np.concatenate(out_g)
 
 
-def stretch(points: list[tuple[int, int]], mass: list[float]) -> tuple[int, int]:
-    """Of (text position, item position) points: (item words spanned, of them matched) of the best chain in order.
+State = tuple[int, int, int, int]  # item words spanned, score, of them matched, whether an interruption has been passed
 
-    A chain is kept for every item position it can start from, and none is given up when its score falls, so words exchanged, dropped
-    or added weigh the same wherever they stand. One number holds score, words matched and their weight, in this order.
+
+def _front(states: list[State]) -> list[State]:
+    """The chains that no other one beats in words spanned (beyond LEAST all count alike), score and interruptions."""
+    out: list[State] = []
+    for x in sorted(states, key=lambda x: (-min(x[0], LEAST), -x[1], x[3])):
+        if not any(y[1] >= x[1] and y[3] <= x[3] for y in out):
+            out.append(x)
+    return out
+
+
+def stretch(points: list[tuple[int, int]]) -> tuple[int, int]:
+    """Of sorted (text position, item position) points: (item words spanned, of them matched) of the best chain in order.
+
+    A chain scores the item words it spans less EDITED for each word exchanged, dropped or added; an interruption of any length counts
+    as one edit, a further one as two. No chain is given up while it may still reach LEAST words with a score of 0 or more.
     """
-    points.sort()
-    before = np.array(mass)
-    at: dict[int, list[tuple[int, np.ndarray | None, int]]] = {}  # by item position: text position, best chain from each start (None: the point alone), most words
-    top, rank = (0, 0), 0.0
+    recent: dict[int, list[tuple[int, list[State]]]] = {}
+    far: dict[int, list[State]] = {}  # best chains by the item position they end at, more than GAP_TEXT words back
+    top: State = (0, -1, 0, 0)
     for d, i in points:
-        own, most = None, 0
+        states: list[State] = [(1, 1, 1, 0)]
         for di in range(1, min(GAP_ITEM, i) + 1):
-            reach = BREAK if di <= 2 else GAP_TEXT
-            j = i - di
-            for dd, chains, count in reversed(at.get(j, ())):
-                gap = d - dd
-                if gap > reach:
-                    break
-                if gap:
-                    gain = (1.0 - 2.0 * max(di - 1, gap > 1) - (2.0 if gap > GAP_TEXT else 0.0)) * _SCORE
-                    if own is None:
-                        own = np.full(i + 1, -np.inf)
-                    if chains is None:
-                        own[j] = max(own[j], gain + _SCORE + _WORD + mass[j + 1] - mass[j])
-                    else:
-                        np.maximum(own[: j + 1], chains + gain, out=own[: j + 1])
-                    most = max(most, count)
-        most += 1
-        if own is not None:
-            own[i] = _SCORE
-            own += _WORD + mass[i + 1] - mass[i]
-        at.setdefault(i, []).append((d, own, most))
-        if own is not None and i + 1 >= LEAST and most >= SHARE * LEAST and (far := own[: i + 2 - LEAST]).max() >= _SCORE:
-            first = np.flatnonzero(far >= _SCORE)
-            score, rest = np.divmod(far[first], _SCORE)
-            matched, weight = np.divmod(rest, _WORD)
-            span = i + 1 - first
-            kept = (matched >= SHARE * span) & (weight >= RARE_SHARE * (mass[i + 1] - before[first]))
-            kept |= (matched - score) / 2 <= span / EDITED
-            if kept.any() and score[kept].max() > rank:
-                best = np.flatnonzero(kept)[score[kept].argmax()]
-                top, rank = (int(span[best]), int(matched[best])), score[best]
-    return top
+            near = recent.get(i - di)
+            if near is None:
+                continue
+            while near and d - near[0][0] > GAP_TEXT:
+                far[i - di] = _front(far.get(i - di, []) + near.pop(0)[1])
+            for dd, chains in near:
+                if d > dd:
+                    gain = di - EDITED * max(di - 1, d - dd > 1)
+                    states += [(span + di, score + gain, matched + 1, f) for span, score, matched, f in chains if score + gain > -LEAST]
+            if di <= 2 and i - di in far:
+                gain = di - EDITED * di
+                states += [(span + di, score + gain - EDITED * f, matched + 1, 1) for span, score, matched, f in far[i - di] if score + gain - EDITED * f > -LEAST]
+        if len(states) > 1:
+            states = _front(states)
+        recent.setdefault(i, []).append((d, states))
+        if states[0][0] >= LEAST and states[0][1] > top[1]:
+            top = states[0]
+    return top[0], top[2]
 
 
 def _dense(places: np.ndarray) -> int:
@@ -185,7 +176,7 @@ def _search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, i
     ends = np.r_[starts[1:], len(pair)]
     number = np.repeat(np.arange(len(starts)), ends - starts)
     places = items.offset[items.item[g]] + items.at[g]
-    total = len(items.weight)
+    total = int(items.offset[-1])
     covered = np.unique(np.concatenate([number * total + places + k for k in range(3)]))
     dense = np.searchsorted(covered, covered + LEAST) - np.arange(len(covered))
     most = np.zeros(len(starts), np.int64)
@@ -203,16 +194,10 @@ def _search_shard(texts: list[str], items: Items) -> list[tuple[int, int, int, i
         near[t[around]] = True
         met = near[items.words[item]]
         near[t[around]] = False
-        if _dense(np.flatnonzero(met)) < LEAST - GAP_ITEM:
+        if _dense(np.flatnonzero(met)) < LEAST - MISSING:
             continue
         where = items.where[item]
-        points = sorted((d, i) for d in np.unique(around).tolist() for i in where.get(int(t[d]), ()))
-        at = np.array(points)
-        top = (0, 0)
-        for c in np.split(np.arange(len(points)), np.flatnonzero(np.diff(at[:, 0]) > BREAK) + 1):  # no chain goes on across these
-            seeds = items.at[g[s:e]][(p[s:e] >= at[c[0], 0]) & (p[s:e] <= at[c[-1], 0])]
-            if _dense(np.unique(seeds[:, None] + np.arange(3))) >= SEEDS and _dense(np.unique(at[c, 1])) >= LEAST - GAP_ITEM:
-                top = max(top, stretch([points[k] for k in c], items.mass[item]))
+        top = stretch([(d, i) for d in np.unique(around).tolist() for i in where.get(int(t[d]), ())])
         if top[0] >= LEAST:
             out.append((doc, item, *top))
     return out
@@ -222,7 +207,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     """(doc_id, item_id, words, matched): which document carries which item, and how long the stretch is."""
     docs = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("text is not null and text != ''")
     listed = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).filter("text is not null")
-    blocks = max(1, -(-listed.count() // ITEM_LIMIT))
+    size = listed.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // ITEM_LIMIT))
     found = None
     for b in range(blocks):
         block = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)

@@ -83,6 +83,27 @@ def test_two_edits_in_any_place_of_fourteen_words():
         assert {d for d, *_ in found} == set(range(len(texts)))
 
 
+def test_interruptions_of_any_length():
+    words = ITEM.lower().split()
+    index = leaks.Items([(7, ITEM)])
+    texts = [" ".join([*words[a : a + 10], *["filler"] * n, *words[a + 10 : a + 20]]) for a in (0, 12) for n in (1, 6, 119, 120, 500, 5000)]
+    assert {d for d, *_ in leaks._search_shard(texts, index)} == set(range(len(texts)))
+
+
+def test_other_items_and_blocks_change_nothing(spark, monkeypatch, rows):
+    words = ITEM.split()
+    rng = random.Random(3)
+    kin = [(100 + i, " ".join(rng.sample(words, len(words)))) for i in range(40)]  # items of the same words in another order
+    texts = [(i, " ".join(w if k % 7 != i % 7 else "other" for k, w in enumerate(words[i : i + 15]))) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    alone = leaks.find_leaks(docs, spark.createDataFrame([(7, ITEM)], "item_id long, text string")).filter("item_id = 7")
+    among = spark.createDataFrame([(7, ITEM), *kin], "item_id long, text string")
+    want = rows(leaks.find_leaks(docs, among))
+    assert rows(alone) == [r for r in want if r[1] == 7] != []
+    monkeypatch.setattr(leaks, "ITEM_LIMIT", 900)
+    assert rows(leaks.find_leaks(docs, among)) == want
+
+
 def test_phrase_hits_are_all_runs_of_three():
     rng = random.Random(1)
     vocab = list("abcde")
