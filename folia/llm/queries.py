@@ -11,7 +11,7 @@ from folia.llm import sql
 from folia.llm.canonical import map_to_list
 from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, type_value
 from folia.llm.leaks import find_leaks
-from folia.llm.lookalikes import repair_lookalikes
+from folia.llm.lookalikes import find_lookalikes
 from folia.llm.matching import match_sources
 from folia.llm.names import link_names, names_with_affiliations
 from folia.llm.packing import pack_documents
@@ -82,8 +82,7 @@ def _p7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _p7_cells(spark, sf_dir)
-    return cells.join(repair_lookalikes(cells), "text").select("field_name", "pub_id", "idx_address", "text", "plain").distinct()
+    return find_lookalikes(_p7_cells(spark, sf_dir), ["field_name", "pub_id", "idx_address"])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,10 +55,26 @@ def test_blocks_of_a_long_list(spark, monkeypatch):
     assert {r.item_id for r in canonical.map_to_list(values, reference.limit(0)).collect()} == {-1}
 
 
+def test_blocks_don_t_change_the_result(spark, monkeypatch, rows):
+    journals = ["Textiles", "Texture", "Annals of Textile Research", "Journal of Texture Studies", "Letters in Tectonics", "Annals of Tests"]
+    institutions = ["Tolra Textiles Rto", "Tolra Texture Rto", "Kamo Optics Univ", "Kamo Opera Univ", "Lyso Optics Site"]
+    listed = [(i, "journal", c) for i, c in enumerate(journals)] + [(100 + i, "institution", c) for i, c in enumerate(institutions)]
+    raw = [("journal", v) for v in ("Text.", "textils", "Ann Text Res", "J. Texture Stud.", "lettres in tectonic", "Ann. Test", "nothing at all")]
+    raw += [("institution", v) for v in ("Tolra Text. Rto", "Tolra Textil. Rto", "Univ of Kamo, Opt.", "Lyso Optic Site", "Kamo Oper. Univ", "none")]
+    reference = spark.createDataFrame(listed, "item_id long, field_name string, canonical string")
+    values = spark.createDataFrame(raw, "field_name string, raw_value string")
+    aliases = spark.createDataFrame([(4, "journal", "Plate News"), (104, "institution", "Old Glass House")], "item_id long, field_name string, alias string")
+    raw_too = values.union(spark.createDataFrame([("journal", "plate nwes"), ("institution", "old glas house")], values.schema))
+    whole = rows(canonical.map_to_list(raw_too, reference, aliases))
+    assert ("journal", "plate nwes", 4) in whole and ("institution", "old glas house", 104) in whole and ("institution", "Tolra Text. Rto", -1) in whole
+    monkeypatch.setattr(canonical, "LIST_LIMIT", 1)
+    assert rows(canonical.map_to_list(raw_too, reference, aliases)) == whole
+
+
 def test_lookalikes(spark):
     texts = {
-        "\u0405\u043edr\u043en Z.": "Sodron Z.", "Hot\u00f3 \u041c.": "Hot\u00f3 M.", "Lom\u200bbar": "Lombar", "a\u00a0b": "a b", "x\u2011y": "x-y", "\uff35\uff4e\uff49ted": "United",
-        "Cafe\u0301": "Caf\u00e9", "Влияние тепла": None, "Влияни\u0065 тепла": "Влияние тепла", "α-Zirconia": None, "CO₂ uptake": None, "基于镍，铜": None, "plain M.": None, "": None, "Škoda": None,
+        "\u0405\u043edr\u043en Z.": "Sodron Z.", "Sodron T.": None, "X\u0443zvaq": None, "Hot\u00f3 \u041c.": "Hot\u00f3 M.", "Lom\u200bbar": "Lombar", "a\u00a0b": "a b", "x\u2011y": "x-y", "\uff35\uff4e\uff49ted": "United",
+        "Cafe\u0301": "Caf\u00e9", "Влияние тепла": None, "Влияни\u0065 тепла": "Влияние тепла", "α-Zirconia": None, "CO₂ uptake": None, "基于镍，铜": None, "plain M.": None, "Henry \u2163": "Henry IV", "\u13a1oman": "Roman", "roman": None, "": None, "Škoda": None,
     }
     df = spark.createDataFrame([(t, "clash") for t in texts] * 2 + [(None, None)], "text string, plain string")
     got = {r["text"]: r["plain"] for r in lookalikes.repair_lookalikes(df).collect()}
