@@ -4,8 +4,12 @@ Method: the reference entries with their alias paths (word orders, codes, names
 in tries that Levenshtein automata search for all entries within a length-dependent distance; every word must be near
 too, so that two entries that differ in one word aren't confused. The nearest entry wins, ties by the smaller id.
 
-A list of up to LIST_LIMIT entries goes to the workers as a whole; a longer one goes in blocks of that size, and the nearest
-entry over all blocks is kept, so the result doesn't depend on the limit.
+Alias paths come from the table `aliases`; for countries the names of the Java locale data and COUNTRY_ALIASES, a default list that
+the table extends, count too.
+
+A field's list of up to LIST_LIMIT entries goes to the workers as a whole; a longer one goes in blocks of that size, each with the words
+of the whole list, and the nearest entry over all blocks is kept, so the result doesn't depend on the limit. Lists of countries
+are bounded by nature and go whole.
 
 Defined cases: NULL, blank values and the sentinels are left out; each distinct value gives one row, however often it occurs;
 a value without any letter, or without an entry in reach, gets item_id -1; an empty list gives -1 for all; values of any
@@ -163,9 +167,15 @@ def _country_keys(raw: str) -> list[str]:
     return list(dict.fromkeys(x for x in out if x))
 
 
-def country_matcher(entries: list[tuple[int, str]], places: dict[str, set[str]]) -> Callable[[list[str]], list[tuple[int, int]]]:
+Entries = list[tuple[int, str]]
+Matcher = Callable[[list[str]], list[tuple[int, int]]]
+SECOND = 100  # added to the distance of entries that are only looked for where no entry is within reach
+
+
+def country_matcher(entries: Entries, aliases: Entries, places: dict[str, set[str]]) -> Matcher:
     ids = {c: i for i, c in sorted(entries, reverse=True)}
     alias = {k: -1 if v is None else ids[v] for k, v in country_aliases(list(ids), places).items()}
+    alias |= {" ".join(_WORD.findall(fold_py(a))): i for i, a in sorted(aliases, reverse=True)}
     fuzzy = LevTrie([k for k in alias if len(k) > 3])
     full = [k for k in alias if alias[k] >= 0 and len(k) > 3]
 
@@ -185,26 +195,34 @@ def country_matcher(entries: list[tuple[int, str]], places: dict[str, set[str]])
     return match
 
 
-def institution_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]], list[tuple[int, int]]]:
-    kinds = {w: k for k, ws in KIND_WORDS.items() for w in ws.split()}
+_KINDS = {w: k for k, ws in KIND_WORDS.items() for w in ws.split()}
+
+
+def _kind_settled(words: list[str]) -> list[str]:
+    text = " " + " ".join(_KINDS.get(w, w) for w in words) + " "
+    for long, short in LONG_KINDS.items():
+        text = text.replace(f" {long} ", f" {short} ")
+    return text.split()
+
+
+def institution_words(canonical: str) -> list[str]:
+    """The word between the town and the kind of a listed institution, which may be shortened."""
+    words = _kind_settled([w for w in _WORD.findall(fold_py(canonical)) if w not in STOP])
+    return words[1:2] if len(words) == 3 else []
+
+
+def institution_matcher(entries: Entries, aliases: Entries, listed: set[str]) -> Matcher:
+    """Matcher of institutions; listed: institution_words of the whole list."""
+    kinds, fields, settle = _KINDS, listed, _kind_settled
     vocabulary = LevTrie([*KIND_PARTS, *NOISE_WORDS])
     seen: dict[str, str] = {}
     alias: dict[str, int] = {}
-    fields: set[str] = set()
 
     def words_of(text: str) -> list[str]:
         return [w for w in _WORD.findall(fold_py(text)) if w not in STOP]
 
-    def settle(words: list[str]) -> list[str]:
-        text = " " + " ".join(kinds.get(w, w) for w in words) + " "
-        for long, short in LONG_KINDS.items():
-            text = text.replace(f" {long} ", f" {short} ")
-        return text.split()
-
-    for i, c in sorted(entries, reverse=True):
+    for i, c in sorted([*entries, *aliases], reverse=True):
         words = settle(words_of(c))
-        if len(words) == 3:
-            fields.add(words[1])
         for order in permutations(words) if len(words) < 5 else [tuple(words)]:
             alias[" ".join(order)] = i
     trie = LevTrie(list(alias))
@@ -239,14 +257,22 @@ def institution_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]],
     return match
 
 
-def journal_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]], list[tuple[int, int]]]:
+def journal_words(canonical: str) -> list[str]:
+    """The words of a listed name, each of which may be cut off from its third letter on or to its first."""
+    return [w for w in _WORD.findall(fold_py(canonical)) if w not in STOP]
+
+
+def journal_matcher(entries: Entries, aliases: Entries, listed: set[str]) -> Matcher:
+    """Matcher of journals and of other names of several words; listed: journal_words of the whole list."""
+    starts = {w[:n] for w in listed for n in (1, *range(3, len(w) + 1))}
+
     def words_of(text: str) -> list[str]:
         return [w for w in _WORD.findall(text) if w not in STOP]
 
     alias: dict[str, int] = {}
     holds: dict[tuple[int, int, str], set[int]] = defaultdict(set)
     paths: dict[str, set[str]] = defaultdict(set)
-    for i, c in sorted(entries, reverse=True):
+    for i, c in sorted([*entries, *aliases], reverse=True):
         words = words_of(fold_py(c))
         alias[" ".join(words)] = i
         for p, w in enumerate(words):
@@ -262,7 +288,7 @@ def journal_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]], lis
         head, comma, tail = text.strip(" .,;").rpartition(",")
         text = f"{tail} {head}" if comma and not any(c.isdigit() for c in tail) else text
         words = words_of(text)
-        return " ".join(w for k, w in enumerate(words) if k == 0 or (len(w) > 2 and (w in paths or not _is_stop(w))))
+        return " ".join(w for k, w in enumerate(words) if k == 0 or (len(w) > 2 and (w in starts or not _is_stop(w))))
 
     def match(values: list[str]) -> list[tuple[int, int]]:
         keys = [skeleton(v) for v in values]
@@ -288,16 +314,25 @@ def journal_matcher(entries: list[tuple[int, str]]) -> Callable[[list[str]], lis
                 if not cost:
                     break
             if cost and len(parts) > 1:
-                near[k] = min((c, i) for i, c in cost.items())
+                near[k] = min((SECOND + c, i) for i, c in cost.items())
         return [near[k] for k in keys]
 
     return match
 
 
-def map_to_list(values: DataFrame, reference: DataFrame) -> DataFrame:
-    """values (field_name, raw_value) and reference (item_id, field_name, canonical) to (field_name, raw_value, item_id)."""
+def _matcher(field: str, entries: Entries, aliases: Entries, listed: set[str] | None, places: dict[str, set[str]]) -> Matcher:
+    if field == "country":
+        return country_matcher(entries, aliases, places)
+    words, make = (institution_words, institution_matcher) if field == "institution" else (journal_words, journal_matcher)
+    return make(entries, aliases, {w for _, c in [*entries, *aliases] for w in words(c)} if listed is None else listed)
+
+
+def map_to_list(values: DataFrame, reference: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """values (field_name, raw_value) and reference (item_id, field_name, canonical) to (field_name, raw_value, item_id).
+
+    aliases (item_id, field_name, alias): further spellings of listed entries.
+    """
     spark = values.sparkSession
-    size = reference.count()
     listed = reference.select("item_id", "field_name", "canonical").filter("canonical is not null")
     values = values.select("field_name", "raw_value").filter(F.col("raw_value").isNotNull() & ~F.trim("raw_value").isin(*SENTINELS)).distinct()
     known = listed.select("field_name", F.col("canonical").alias("raw_value"))
@@ -305,30 +340,51 @@ def map_to_list(values: DataFrame, reference: DataFrame) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     values = values.repartition(parts, F.xxhash64("field_name", "raw_value"))
     places = locale_names(spark)
-    blocks = max(1, -(-size // LIST_LIMIT))
-    found = None
-    for b in range(blocks):
-        block = listed if blocks == 1 else listed.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        one = values.mapInPandas(_searcher(block.collect(), places), "field_name string, raw_value string, distance int, item_id long")
-        found = one if found is None else found.unionByName(one)
-    if blocks > 1:
-        best = F.min(F.struct(F.when(F.col("item_id") < 0, 99).otherwise(F.col("distance")).alias("d"), "item_id")).alias("m")
-        return found.groupBy("field_name", "raw_value").agg(best).select("field_name", "raw_value", F.col("m.item_id").alias("item_id"))
-    return found.select("field_name", "raw_value", "item_id")
-
-
-def _searcher(rows: list, places: dict[str, set[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    entries: dict[str, list[tuple[int, str]]] = defaultdict(list)
-    for item_id, field, canonical in rows:
-        entries[field].append((item_id, canonical))
+    spelled = listed.withColumn("extra", F.lit(False))
+    if aliases is not None:
+        spelled = spelled.unionByName(aliases.select("item_id", "field_name", F.col("alias").alias("canonical"), F.lit(True).alias("extra")).filter("canonical is not null"))
+    sizes = {r[0]: r[1] for r in spelled.filter("field_name != 'country'").groupBy("field_name").count().collect()}  # one row a field
+    long = sorted(f for f, n in sizes.items() if n > LIST_LIMIT)
+    short = F.coalesce(~F.col("field_name").isin(long), F.lit(True))
+    found = values.filter(short).mapInPandas(_searcher(spelled.filter(short).collect(), {}, places), _FOUND)
+    for field in long:
+        words = _listed_words(spelled.filter(F.col("field_name") == field), field)
+        blocks = -(-sizes[field] // LIST_LIMIT)
+        for b in range(blocks):
+            block = spelled.filter((F.col("field_name") == field) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).collect()
+            found = found.unionByName(values.filter(F.col("field_name") == field).mapInPandas(_searcher(block, {field: words}, places), _FOUND))
+    if not long:
+        return found.select("field_name", "raw_value", "item_id")
+    best = F.min(F.struct(F.when(F.col("item_id") < 0, 9999).otherwise(F.col("distance")).alias("d"), "item_id")).alias("m")
+    return found.groupBy("field_name", "raw_value").agg(best).select("field_name", "raw_value", F.col("m.item_id").alias("item_id"))
+
+
+_FOUND = "field_name string, raw_value string, distance int, item_id long"
+
+
+def _listed_words(spelled: DataFrame, field: str) -> set[str]:
+    """The distinct words of a long list."""
+    words = institution_words if field == "institution" else journal_words
+
+    @F.pandas_udf("array<string>")
+    def read(c: pd.Series) -> pd.Series:
+        return c.map(words)
+
+    return {r[0] for r in spelled.select(F.explode(read("canonical")).alias("w")).distinct().collect()}
+
+
+def _searcher(rows: list, listed: dict[str, set[str]], places: dict[str, set[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    entries: dict[str, Entries] = defaultdict(list)
+    aliases: dict[str, Entries] = defaultdict(list)
+    for item_id, field, text, extra in rows:
+        (aliases if extra else entries)[field].append((item_id, text))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        made = {}
+        made: dict[str, Matcher] = {}
         for batch in batches:
             for field, part in batch.groupby("field_name"):
                 if field not in made:
-                    make = {"country": lambda e: country_matcher(e, places), "institution": institution_matcher}.get(field, journal_matcher)
-                    made[field] = make(entries.get(field, []))
+                    made[field] = _matcher(field, entries.get(field, []), aliases.get(field, []), listed.get(field), places)
                 hits = made[field](list(part["raw_value"]))
                 yield pd.DataFrame({"field_name": field, "raw_value": part["raw_value"], "distance": [d for d, _ in hits], "item_id": [i for _, i in hits]})
 
