@@ -2,9 +2,11 @@
 
 Method: every token becomes a function-word class or a word class (suffix, capital, number, link, tag, punctuation mark).
 A trigram model over these classes is trained on the prose sentences of the whole corpus. A sentence or line whose
-perplexity is abnormally high or low for its length, under the model's own mean and spread, isn't prose. A page is flagged
-when more than half of its words stand in such lines, lines of honest records (numbered affiliations, cited works, index and
-contents entries, rows of readings) not counted: their form is checked on the abnormal lines only.
+perplexity is abnormally high or low for its length, under the model's own mean and spread, isn't prose; so is a passage
+whose content words have an abnormally low perplexity under the passage itself, that is, which repeats a few words, and that isn't
+held together by function words. A page is flagged when more than half of its words stand in such lines, lines of honest
+records (numbered affiliations, cited works, index and contents entries, rows of readings) not counted: their form is checked
+on the abnormal lines only.
 
 The model is a table of at most CLASSES ** 3 counts, whatever the corpus; that is all that reaches the driver.
 
@@ -50,7 +52,8 @@ SLACK = 0.45  # bits that topics and styles of prose differ by
 SHARE = 0.5
 SHORT = 8
 WORDED = 0.22  # share of function words from which an unusual line is still language
-MEMORY, REPEATED, DENSE = 200, 0.5, 0.4  # tokens back, share of the pairs of content words, share of the tokens
+PASSAGE, PRIOR = 80, 10  # tokens of a passage at least; content words that stand for the rest of the language
+OWN_WORDS, SAID = 12.0, 0.35  # perplexity of the content words of a passage given the others of it; share of function words from which a repeated passage is language
 # Forms of honest records, by line.
 RECORDS = [
     re.compile(r"(?:\.{3,}|…|\s{2,})\s*\d+$"),  # a contents entry and its page
@@ -158,25 +161,40 @@ def judge(texts: list[str], model: Model, known: Known) -> tuple[np.ndarray, np.
     size = np.maximum(np.bincount(group, length), 1)
     mean = (np.bincount(group, np.add.reduceat(bits, starts)) / size)[group]
     sigma = (model.spread / np.sqrt(size))[group]
-    # the page's own running memory: a pair of content words seen within the last MEMORY tokens costs next to nothing
-    words = np.fromiter((h for x in tokens for h in (0, 0, *map(hash, map(str.lower, x)))), np.int64, len(ids)).astype(np.uint64)
-    page = np.repeat(doc, length + 2).astype(np.uint64)
-    content = _CONTENT[ids]
-    pair = np.flatnonzero(content[1:] & content[:-1]) + 1
-    key = words[pair] * np.uint64(31) + words[pair - 1] * np.uint64(0x9E3779B97F4A7C15) + page[pair] * np.uint64(0xC2B2AE3D27D4EB4F)
-    order = np.argsort(key, kind="stable")
-    again = np.zeros(len(pair), bool)
-    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (pair[order[1:]] - pair[order[:-1]] <= MEMORY)
-    which = np.repeat(np.arange(len(parts)), length + 2)[pair]
-    repeated, pairs = np.bincount(which, again, len(parts)), np.bincount(which, minlength=len(parts))
     function = np.add.reduceat((ids > 0) & (ids <= len(FUNCTION_WORDS)), starts, dtype=float)
+    own, said = _own_words(tokens, ids, length, doc, function)
+    narrow = (own < OWN_WORDS) & (said < SAID)
     worded = (np.bincount(group, function) / size)[group] >= WORDED
-    odd = ((mean > model.mean + HIGH * sigma + SLACK) & ~worded) | (mean < model.mean - LOW * sigma - SLACK) | ((repeated > REPEATED * pairs) & (repeated > DENSE * length))
+    odd = ((mean > model.mean + HIGH * sigma + SLACK) & ~worded) | (mean < model.mean - LOW * sigma - SLACK) | narrow
     for k in np.flatnonzero(odd):
         odd[k] = not any(r.search(parts[k][1]) for r in RECORDS)
     return np.bincount(doc, length, len(texts)), np.bincount(doc, length * odd, len(texts))
 
 
+def _own_words(tokens: list[list[str]], ids: np.ndarray, length: np.ndarray, doc: np.ndarray, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the perplexity of the content words of its passage, each drawn from the others and PRIOR unseen ones, and the share of function words.
+
+    A passage is a run of whole lines of one page with PASSAGE tokens or more, the rest of the page joining the last one.
+    """
+    first = np.r_[True, doc[1:] != doc[:-1]]
+    ends = np.cumsum(length)
+    start = np.maximum.accumulate(np.where(first, ends - length, 0))  # tokens before the page
+    of_page = np.bincount(doc, length)[doc]
+    number = np.minimum((ends - length - start) // PASSAGE, np.maximum(of_page // PASSAGE - 1, 0)).astype(np.int64)
+    passage = np.cumsum(np.r_[True, (np.diff(doc) != 0) | (np.diff(number) != 0)]) - 1
+    line = np.repeat(np.arange(len(tokens)), length)
+    words = np.fromiter((hash(w.lower()) for x in tokens for w in x), np.int64, int(length.sum()))
+    content = _CONTENT[ids[ids != 0]]
+    at = passage[line[content]]
+    same = pd.DataFrame({"p": at, "w": words[content]}).value_counts(sort=False)
+    own = same.index.get_level_values("p").to_numpy()
+    count = same.to_numpy().astype(float)
+    n = np.bincount(at, minlength=passage[-1] + 1).astype(float)
+    again = np.bincount(own, count * (count - 1), len(n)) / np.maximum(n * (n - 1 + PRIOR), 1)
+    said = np.bincount(passage, function) / np.maximum(np.bincount(passage, length), 1)
+    return (1 / np.maximum(again, 1e-9))[passage], said[passage]
+
+
 def train(documents: DataFrame, text: str = "text") -> Model:
     """The class model of the prose in all documents."""
     counted = documents.select(F.col(text).alias("text")).filter("text is not null").mapInPandas(count_trigrams, "key int, n long")
