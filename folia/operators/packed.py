@@ -5,8 +5,9 @@ Commas may separate or belong to a value: a cell without any unmistakable separa
 atoms, quoted spans staying whole. The value frequencies of the whole column and the distribution of the number of commas in
 a value are learned from the cells cut so far; the Viterbi path chooses the likeliest split of each lattice; both steps repeat.
 
-Value frequencies are counted and looked up by joins on a 64-bit hash; only the comma distribution (at most COMMAS + 1 numbers
-a field) reaches the driver.
+Only the hashes of values that several cells may hold are kept, once, with their count among the settled cells; every round adds the
+counts of the last solution to them. Rounds end when no path changes. The comma distribution (at most
+COMMAS + 1 numbers a field) is all that reaches the driver; it also says how many atoms a value may join at most.
 
 Defined cases: a NULL or blank cell gives no row; blank values count for nothing and take no position; a quote without its
 partner is an ordinary character; a record delivered several times counts once, in its earliest delivery; texts of any length
@@ -15,20 +16,23 @@ are cut whole; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from folia.runtime import cut, release, store
+
 COMMAS = 40  # longer values share the last class
-ROUNDS = 2
-SPAN = 3  # atoms that a value inside a comma-parted cell may join; the whole cell may always be one value
+ROUNDS = 50  # only guards against paths that never settle
 NEW_VALUE, NEW_CHAR, KNOWN = -2.3, -1.5, 0.9  # log cost of a new value and of each of its characters; weight of known values
+NEW = math.log(1 - KNOWN)
 _QUOTED = r'"(?:[^"]|"")*"'
 _PIECE = re.compile(rf'(?:{_QUOTED}|[^;；|•·‖¦\t\r\n"/]+|(?<!\s/)(?<!^/)(?!//(?:\s|$))/|")+')
 _ATOM = re.compile(rf'(?:{_QUOTED}|[^,"]+|")+')
@@ -61,14 +65,10 @@ def read_cell(cell: str | None) -> tuple[list[str], list[str]]:
     return [x for p in parts if (x := clean(p))], []
 
 
-def spans(atoms: list[str]) -> list[tuple[int, int, str]]:
-    """Values that neighbouring atoms may form: (first atom, last atom, value)."""
+def spans(atoms: list[str], longest: int) -> list[tuple[int, int, str]]:
+    """Values that neighbouring atoms may form: (first atom, last atom, value), of at most `longest` commas between atoms, or the whole cell."""
     n = len(atoms)
-    return [(i, j, clean(",".join(atoms[i : j + 1]))) for i in range(n) for j in range(i, n) if j < i + SPAN or (i == 0 and j == n - 1)]
-
-
-def _commas(c: Column) -> Column:
-    return F.least(F.length(c) - F.length(F.replace(c, F.lit(","), F.lit(""))), F.lit(COMMAS))
+    return [(i, j, clean(",".join(atoms[i : j + 1]))) for i in range(n) for j in range(i, n) if j - i <= longest or (i == 0 and j == n - 1)]
 
 
 def read_records(raw: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
@@ -92,53 +92,122 @@ def read_records(raw: DataFrame, key: str, columns: list[str], order: str) -> Da
 
 def unpack(raw: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
     """(key, field_name, pos, item): the values of every cell in order, pos counting from 0."""
-    records = read_records(raw, key, columns, order).persist(StorageLevel.DISK_ONLY)
+    records = store(read_records(raw, key, columns, order).withColumn("cell", F.monotonically_increasing_id()))
     settled = records.filter(F.size("atoms") == 0).select(key, "field_name", "values")
-    unsettled = records.filter(F.size("atoms") > 0).select(key, "field_name", "atoms")
-    solved: DataFrame | None = None
+    lattices = records.filter(F.size("atoms") > 0).select(key, "field_name", "cell", "atoms")
+    solved = settle(lattices, settled.select("field_name", F.explode("values").alias("v")), key)
+    return settled.unionByName(solved.select(key, "field_name", "values")).select(key, "field_name", F.posexplode("values").alias("pos", "item"))
+
+
+Spread = dict[str, tuple[dict[int, int], int]]  # by field: number of values by number of commas, number of values
+
+
+def settle(lattices: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """lattices (key, field_name, cell, atoms) to their likeliest values, by expectation-maximisation from the settled values (field_name, v).
+
+    Two rounds read every lattice, the second with the comma distribution of all values. From then on only lattices that may hold a value
+    whose count has changed are read again, until no path changes.
+    """
+    spread = _comma_counts(values)
+    longest = {f: max(k) for f, (k, _) in spread.items()}
+    hashes = F.transform(_span_values(longest)("field_name", "atoms"), lambda v: F.xxhash64("field_name", v))
+    cells = store(lattices.withColumn("hs", hashes))
+    # a value that only one cell may hold, and no settled one holds, is new in every round
+    may = cells.select("cell", F.explode(F.array_distinct("hs")).alias("h")).repartition("h")
+    known = values.select(F.xxhash64("field_name", "v").alias("h")).groupBy("h").agg(F.count("*").alias("n0"))
+    several = may.groupBy("h").agg(F.count("*").alias("cells")).join(known, "h", "left").filter("cells > 1 or n0 is not null")
+    met = cut(may.join(several.select("h", F.coalesce("n0", F.lit(0)).alias("n")), "h"))
+
+    first = _solve(cells, met, key, spread, longest)
+    added = first.select("field_name", F.explode("values").alias("v"))
+    spread = _added(spread, _comma_counts(added))
+    met = _recount(met, added.select(F.xxhash64("field_name", "v").alias("h"), F.lit(1).alias("d")))
+    solved = _solve(cells, met, key, spread, longest)
+    now = solved.select("cell", F.col("values").alias("new"))
+    changed = cut(first.select("cell", "field_name", "values").join(now, "cell").filter("values != new"))
+    latest = None
     for _ in range(ROUNDS):
-        solved = _viterbi(unsettled, settled if solved is None else settled.unionByName(solved), key).persist(StorageLevel.DISK_ONLY)
-    both = settled.unionByName(solved)
-    return both.select(key, "field_name", F.posexplode("values").alias("pos", "item"))
+        less, more = (changed.select(F.explode(c).alias("v"), "field_name", F.lit(d).alias("d")) for c, d in (("values", -1), ("new", 1)))
+        moves = less.unionByName(more).select(F.xxhash64("field_name", "v").alias("h"), "d").groupBy("h").agg(F.sum("d").alias("d")).filter("d != 0")
+        moved = cut(moves)
+        if moved.limit(1).count() == 0:
+            break
+        met = _recount(met, moved)
+        touched = met.join(moved, "h", "left_semi").select("cell").distinct()
+        again = _solve(cells.join(touched, "cell", "left_semi"), met.join(touched, "cell", "left_semi"), key, spread, longest)
+        old = solved.select("cell", "values")
+        if latest is not None:
+            old = old.join(latest, "cell", "left").select("cell", F.coalesce("new", "values").alias("values"))
+        changed = cut(again.select("cell", "field_name", F.col("values").alias("new")).join(old, "cell").filter("values != new"))
+        fresh = changed.select("cell", "new")
+        latest = cut(fresh if latest is None else latest.join(fresh, "cell", "left_anti").unionByName(fresh))
+    else:
+        warnings.warn(f"paths still change after {ROUNDS} rounds", stacklevel=2)
+    if latest is None:
+        return solved
+    return solved.join(latest, "cell", "left").select(key, "field_name", F.coalesce("new", "values").alias("values"))
+
+
+def _recount(met: DataFrame, moves: DataFrame) -> DataFrame:
+    """met (cell, h, n) with the counts d of `moves` (h, d) added."""
+    total = moves.groupBy("h").agg(F.sum("d").alias("d"))
+    new = cut(met.join(total, "h", "left").select("cell", "h", (F.col("n") + F.coalesce("d", F.lit(0))).alias("n")))
+    release(met)
+    return new
+
+
+def _solve(cells: DataFrame, met: DataFrame, key: str, spread: Spread, longest: dict[str, int]) -> DataFrame:
+    """(key, field_name, cell, values): the Viterbi path of each lattice."""
+    found = met.groupBy("cell").agg(F.collect_list("h").alias("mh"), F.collect_list("n").alias("mn"))
+    path = _path_udf(*_comma_prior(spread), longest)
+    return cut(cells.join(found, "cell", "left").select(key, "field_name", "cell", path("field_name", "atoms", "hs", "mh", "mn").alias("values")))
+
+
+def _span_values(longest: dict[str, int]):
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(field: pd.Series, atoms: pd.Series) -> pd.Series:
+        return pd.Series([[v for _, _, v in spans(list(a), longest.get(f, len(a)))] for f, a in zip(field, atoms, strict=True)], dtype=object)
+
+    return run
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _span_values(atoms: pd.Series) -> pd.Series:
-    return pd.Series([[v for _, _, v in spans(list(a))] for a in atoms], dtype=object)
+def _comma_counts(values: DataFrame) -> Spread:
+    """By field: how many values have so many commas, the longest ones in the class of the most that any has."""
+    c = F.length("v") - F.length(F.replace("v", F.lit(","), F.lit("")))
+    out: Spread = {}
+    for f, k, n in values.groupBy("field_name", F.least(c, F.lit(COMMAS)).alias("k")).agg(F.count("*"), F.max(c).alias("m")).select("field_name", F.when(F.col("k") < COMMAS, F.col("k")).otherwise(F.col("m")), "count(1)").collect():  # at most COMMAS + 1 rows a field
+        counts, total = out.get(f, ({}, 0))
+        out[f] = (counts | {k: n}, total + n)
+    return out
 
 
-def _viterbi(unsettled: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """The likeliest values of each open cell; only the hashes of the values that its atoms may form are shuffled."""
-    values = known.select("field_name", F.explode("values").alias("v"))
-    prior, totals = _comma_prior(values)
-    counts = values.select(F.xxhash64("field_name", "v").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    hashes = F.transform(_span_values("atoms"), lambda v: F.xxhash64("field_name", v))
-    open_cells = unsettled.select(key, "field_name", "atoms", hashes.alias("hs")).withColumn("cell", F.xxhash64(key, "field_name"))
-    met = open_cells.select("cell", F.explode(F.array_distinct("hs")).alias("h")).join(counts, "h")
-    found = met.groupBy("cell").agg(F.map_from_entries(F.collect_set(F.struct("h", "n"))).alias("met"))
-    path = _path_udf(prior, totals)
-    times = F.transform("hs", lambda h: F.coalesce(F.try_element_at("met", h), F.lit(0)))
-    return open_cells.join(found, "cell", "left").select(key, "field_name", path("field_name", "atoms", times).alias("values"))
+def _added(a: Spread, b: Spread) -> Spread:
+    out = {}
+    for f in a.keys() | b.keys():
+        (x, m), (y, n) = a.get(f, ({}, 0)), b.get(f, ({}, 0))
+        out[f] = ({k: x.get(k, 0) + y.get(k, 0) for k in x.keys() | y.keys()}, m + n)
+    return out
 
 
-def _comma_prior(values: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]]:
+def _comma_prior(spread: Spread) -> tuple[dict[str, np.ndarray], dict[str, float]]:
     """Log probability of the number of commas in a value, and the number of values, by field."""
-    prior: dict[str, np.ndarray] = {}
-    totals: dict[str, float] = {}
-    for f, k, n in values.groupBy("field_name", _commas(F.col("v")).alias("k")).count().collect():  # at most COMMAS + 1 rows a field
-        prior.setdefault(f, np.full(COMMAS + 1, 0.5))[k] += n
-        totals[f] = totals.get(f, 0.0) + n
-    return {f: np.log(x / x.sum()) for f, x in prior.items()}, totals
+    prior = {}
+    for f, (counts, _) in spread.items():
+        p = np.full(COMMAS + 1, 0.5)
+        for k, n in counts.items():
+            p[min(k, COMMAS)] += n
+        prior[f] = np.log(p / p.sum())
+    return prior, {f: float(n) for f, (_, n) in spread.items()}
 
 
-def best_path(atoms: list[str], times: list[int], costs: np.ndarray, total: float) -> list[str]:
+def best_path(atoms: list[str], times: list[int], costs: np.ndarray, total: float, longest: int) -> list[str]:
     """The likeliest split of a lattice; times: how often each of spans(atoms) is met as a value of its own."""
     n = len(atoms)
     score, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
     into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for (i, j, value), met in zip(spans(atoms), times, strict=True):
-        new = (1 - KNOWN) * np.exp(max(NEW_VALUE + NEW_CHAR * len(value) + costs[min(value.count(","), COMMAS)], -600.0))
-        into[j].append((i, float(np.log(KNOWN * met / total + new))))
+    for (i, j, value), met in zip(spans(atoms, longest), times, strict=True):
+        new = NEW + NEW_VALUE + NEW_CHAR * len(value) + costs[min(value.count(","), COMMAS)]
+        into[j].append((i, math.log(KNOWN * met / total + math.exp(max(new, -700.0))) if met else float(new)))
     for j in range(n):
         for i, s in into[j]:
             if score[i] + s > score[j + 1]:
@@ -150,12 +219,15 @@ def best_path(atoms: list[str], times: list[int], costs: np.ndarray, total: floa
     return [x for x in out[::-1] if x]
 
 
-def _path_udf(prior: dict[str, np.ndarray], totals: dict[str, float]):
+def _path_udf(prior: dict[str, np.ndarray], totals: dict[str, float], longest: dict[str, int]):
     flat = np.log(np.full(COMMAS + 1, 1 / (COMMAS + 1)))
 
     @F.pandas_udf(ArrayType(StringType()))
-    def path(field: pd.Series, atoms: pd.Series, times: pd.Series) -> pd.Series:
-        rows = zip(field, atoms, times, strict=True)
-        return pd.Series([best_path(list(a), list(t), prior.get(f, flat), totals.get(f, 1.0)) for f, a, t in rows], dtype=object)
+    def path(field: pd.Series, atoms: pd.Series, hashes: pd.Series, met: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for f, a, hs, m, c in zip(field, atoms, hashes, met, counts, strict=True):
+            times = {} if m is None else dict(zip(m.tolist(), c.tolist(), strict=True))
+            out.append(best_path(list(a), [times.get(h, 0) for h in hs.tolist()], prior.get(f, flat), totals.get(f, 1.0), longest.get(f, len(a))))
+        return pd.Series(out, dtype=object)
 
     return path

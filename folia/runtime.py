@@ -6,6 +6,7 @@ import os
 import shutil
 import sys
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a local one is made only where none is set (tests)."""
+    """The session's shared checkpoint folder; a local one is made only where none is set and all runs on one machine (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if known:
@@ -39,6 +40,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(known)
         return known
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "folia-checkpoints"))
     return context.getCheckpointDir()
 
@@ -47,3 +50,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """The same as a compressed table in the shared folder, for wide rows; its columns are read as needed."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a result of cut() that no later step reads, such as the last round's state."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,6 +36,15 @@ def test_commas_are_settled_by_the_column(spark):
     assert got["three"] == ["beta", "a; b", "alpha"]
 
 
+def test_values_join_as_many_atoms_as_values_of_the_column_do(spark):
+    a, b = "Dept of Physics, Univ A, Lyon, France", "Dept of Chemistry, Univ B, Paris, France"
+    rows = [(f"s{i}", 1, f"Dept {i}, Univ {i % 3}, Town {i % 5}, France; {a}; {b}", "x") for i in range(20)]
+    rows += [("open", 1, f"{a}, {b}", "x"), ("new", 1, f"{b}, Dept of Art, Univ C, Rome, Italy", "x"), ("three", 1, f"{a}, {b}, {a}", "x")]
+    got = items(spark, rows)
+    assert got["open"] == [a, b] and got["three"] == [a, b, a]
+    assert got["new"] == [b, "Dept of Art, Univ C, Rome, Italy"]
+
+
 def test_edges_of_input(spark):
     long = "; ".join(f"word {i}" for i in range(5000))
     rows = [("n", 1, None, None), ("e", 1, "  ", None), ("d", 2, "later", None), ("d", 1, "first; second", None), (None, 1, "a", None), ("l", 1, long, None), ("d", 1, "first; second", None)]
@@ -51,7 +60,7 @@ def test_best_path_is_the_best_of_all_splits():
     costs = np.log(np.r_[0.8, 0.15, np.full(packed.COMMAS - 1, 0.05 / (packed.COMMAS - 1))])
     for _ in range(40):
         atoms = [str(rng.choice(["a", "bb", "ccc", "dd"])) for _ in range(int(rng.integers(1, 6)))]
-        spans = packed.spans(atoms)
+        spans = packed.spans(atoms, 9)
         times = [int(rng.integers(0, 3)) * int(rng.integers(0, 50)) for _ in spans]
         value = {}
         for (i, j, v), n in zip(spans, times, strict=True):
@@ -63,7 +72,7 @@ def test_best_path_is_the_best_of_all_splits():
             parts = [(x, y - 1) for x, y in itertools.pairwise(ends)]
             if all(p in value for p in parts):
                 best = max(best, sum(value[p] for p in parts))
-        got = packed.best_path(atoms, times, costs, 100.0)
+        got = packed.best_path(atoms, times, costs, 100.0, 9)
         k, total = 0, 0.0
         for v in got:
             n = v.count(",") + 1
