@@ -111,20 +111,20 @@ def settle(lattices: DataFrame, values: DataFrame, key: str) -> DataFrame:
     spread = _comma_counts(values)
     longest = {f: max(k) for f, (k, _) in spread.items()}
     hashes = F.transform(_span_values(longest)("field_name", "atoms"), lambda v: F.xxhash64("field_name", v))
-    cells = store(lattices.withColumn("hs", hashes))
     # a value that only one cell may hold, and no settled one holds, is new in every round
-    may = cells.select("cell", F.explode(F.array_distinct("hs")).alias("h")).repartition("h")
+    may = lattices.select("cell", F.posexplode(hashes).alias("at", "h")).repartition("h")
     known = values.select(F.xxhash64("field_name", "v").alias("h")).groupBy("h").agg(F.count("*").alias("n0"))
-    several = may.groupBy("h").agg(F.count("*").alias("cells")).join(known, "h", "left").filter("cells > 1 or n0 is not null")
+    several = may.groupBy("h").agg(F.count("*").alias("times")).join(known, "h", "left").filter("times > 1 or n0 is not null")
     met = cut(may.join(several.select("h", F.coalesce("n0", F.lit(0)).alias("n")), "h"))
 
-    first = _solve(cells, met, key, spread, longest)
+    first = _solve(lattices, met, key, spread, longest)
     added = first.select("field_name", F.explode("values").alias("v"))
     spread = _added(spread, _comma_counts(added))
     met = _recount(met, added.select(F.xxhash64("field_name", "v").alias("h"), F.lit(1).alias("d")))
-    solved = _solve(cells, met, key, spread, longest)
+    solved = _solve(lattices, met, key, spread, longest)
     now = solved.select("cell", F.col("values").alias("new"))
     changed = cut(first.select("cell", "field_name", "values").join(now, "cell").filter("values != new"))
+    release(first)
     latest = None
     for _ in range(ROUNDS):
         less, more = (changed.select(F.explode(c).alias("v"), "field_name", F.lit(d).alias("d")) for c, d in (("values", -1), ("new", 1)))
@@ -134,7 +134,7 @@ def settle(lattices: DataFrame, values: DataFrame, key: str) -> DataFrame:
             break
         met = _recount(met, moved)
         touched = met.join(moved, "h", "left_semi").select("cell").distinct()
-        again = _solve(cells.join(touched, "cell", "left_semi"), met.join(touched, "cell", "left_semi"), key, spread, longest)
+        again = _solve(lattices.join(touched, "cell", "left_semi"), met.join(touched, "cell", "left_semi"), key, spread, longest)
         old = solved.select("cell", "values")
         if latest is not None:
             old = old.join(latest, "cell", "left").select("cell", F.coalesce("new", "values").alias("values"))
@@ -149,18 +149,18 @@ def settle(lattices: DataFrame, values: DataFrame, key: str) -> DataFrame:
 
 
 def _recount(met: DataFrame, moves: DataFrame) -> DataFrame:
-    """met (cell, h, n) with the counts d of `moves` (h, d) added."""
+    """met (cell, at, h, n) with the counts d of `moves` (h, d) added."""
     total = moves.groupBy("h").agg(F.sum("d").alias("d"))
-    new = cut(met.join(total, "h", "left").select("cell", "h", (F.col("n") + F.coalesce("d", F.lit(0))).alias("n")))
+    new = cut(met.join(total, "h", "left").select("cell", "at", "h", (F.col("n") + F.coalesce("d", F.lit(0))).alias("n")))
     release(met)
     return new
 
 
 def _solve(cells: DataFrame, met: DataFrame, key: str, spread: Spread, longest: dict[str, int]) -> DataFrame:
-    """(key, field_name, cell, values): the Viterbi path of each lattice."""
-    found = met.groupBy("cell").agg(F.collect_list("h").alias("mh"), F.collect_list("n").alias("mn"))
+    """(key, field_name, cell, values): the Viterbi path of each lattice; met (cell, at, h, n): how often its spans are met."""
+    found = met.filter("n > 0").groupBy("cell").agg(F.collect_list("at").alias("ats"), F.collect_list("n").alias("ns"))
     path = _path_udf(*_comma_prior(spread), longest)
-    return cut(cells.join(found, "cell", "left").select(key, "field_name", "cell", path("field_name", "atoms", "hs", "mh", "mn").alias("values")))
+    return store(cells.join(found, "cell", "left").select(key, "field_name", "cell", path("field_name", "atoms", "ats", "ns").alias("values")))
 
 
 def _span_values(longest: dict[str, int]):
@@ -200,12 +200,13 @@ def _comma_prior(spread: Spread) -> tuple[dict[str, np.ndarray], dict[str, float
     return prior, {f: float(n) for f, (_, n) in spread.items()}
 
 
-def best_path(atoms: list[str], times: list[int], costs: np.ndarray, total: float, longest: int) -> list[str]:
-    """The likeliest split of a lattice; times: how often each of spans(atoms) is met as a value of its own."""
+def best_path(atoms: list[str], times: dict[int, int], costs: np.ndarray, total: float, longest: int) -> list[str]:
+    """The likeliest split of a lattice; times: how often spans(atoms), by their number, are met as values of their own."""
     n = len(atoms)
     score, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
     into: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    for (i, j, value), met in zip(spans(atoms, longest), times, strict=True):
+    for k, (i, j, value) in enumerate(spans(atoms, longest)):
+        met = times.get(k, 0)
         new = NEW + NEW_VALUE + NEW_CHAR * len(value) + costs[min(value.count(","), COMMAS)]
         into[j].append((i, math.log(KNOWN * met / total + math.exp(max(new, -700.0))) if met else float(new)))
     for j in range(n):
@@ -223,11 +224,11 @@ def _path_udf(prior: dict[str, np.ndarray], totals: dict[str, float], longest: d
     flat = np.log(np.full(COMMAS + 1, 1 / (COMMAS + 1)))
 
     @F.pandas_udf(ArrayType(StringType()))
-    def path(field: pd.Series, atoms: pd.Series, hashes: pd.Series, met: pd.Series, counts: pd.Series) -> pd.Series:
+    def path(field: pd.Series, atoms: pd.Series, ats: pd.Series, ns: pd.Series) -> pd.Series:
         out = []
-        for f, a, hs, m, c in zip(field, atoms, hashes, met, counts, strict=True):
-            times = {} if m is None else dict(zip(m.tolist(), c.tolist(), strict=True))
-            out.append(best_path(list(a), [times.get(h, 0) for h in hs.tolist()], prior.get(f, flat), totals.get(f, 1.0), longest.get(f, len(a))))
+        for f, a, at, n in zip(field, atoms, ats, ns, strict=True):
+            times = {} if at is None else dict(zip(at.tolist(), n.tolist(), strict=True))
+            out.append(best_path(list(a), times, prior.get(f, flat), totals.get(f, 1.0), longest.get(f, len(a))))
         return pd.Series(out, dtype=object)
 
     return path

@@ -7,10 +7,12 @@ import shutil
 import sys
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_stored: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def ship(spark: SparkSession | None = None, module_name: str = "folia") -> None:
@@ -56,12 +58,20 @@ def store(df: DataFrame) -> DataFrame:
     """The same as a compressed table in the shared folder, for wide rows; its columns are read as needed."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[id(out)] = (weakref.ref(out), path)
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Deletes the files of a result of cut() that no later step reads, such as the last round's state."""
-    plan = df._jdf.queryExecution().analyzed()
-    if plan.getClass().getSimpleName() == "LogicalRDD" and plan.rdd().getCheckpointFile().isDefined():
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes the files of a result of cut() or store() that no later step reads, such as the last round's state."""
+    spark, kept = df.sparkSession, _stored.pop(id(df), None)
+    if kept and kept[0]() is df:
+        name = kept[1]
+    else:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+            return
+        name = plan.rdd().getCheckpointFile().get()
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

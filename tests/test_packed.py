@@ -72,7 +72,7 @@ def test_best_path_is_the_best_of_all_splits():
             parts = [(x, y - 1) for x, y in itertools.pairwise(ends)]
             if all(p in value for p in parts):
                 best = max(best, sum(value[p] for p in parts))
-        got = packed.best_path(atoms, times, costs, 100.0, 9)
+        got = packed.best_path(atoms, dict(enumerate(times)), costs, 100.0, 9)
         k, total = 0, 0.0
         for v in got:
             n = v.count(",") + 1
