@@ -33,12 +33,13 @@ from folia.llm.levtrie import LevTrie, distance
 from folia.runtime import cut
 
 BLOCK = 20_000
+NICK_LIMIT = 100_000
 BELIEF = 0.5
 PARTICLES = {"von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "al", "el", "ter", "ten", "zu", "zur", "dos", "das", "bin", "ibn", "st"}
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md"}
 GROUP_WORDS = {"collaboration", "collab", "consortium", "group", "team", "the", "working", "study"}
 DIGRAPHS = {"ä": "ae", "ö": "oe", "ü": "ue", "ø": "oe", "å": "aa", "æ": "ae", "Ä": "ae", "Ö": "oe", "Ü": "ue", "Ø": "oe", "Å": "aa", "Æ": "ae"}
-# Short forms and the given name they stand for (fixed values).
+# Short forms and the given name they stand for, the default of the table `nicknames` (fixed values).
 NICKNAMES = {
     "liz": "elizabeth", "beth": "elizabeth", "eliza": "elizabeth", "betty": "elizabeth", "lisa": "elizabeth", "bob": "robert", "rob": "robert", "bobby": "robert", "robbie": "robert",
     "bill": "william", "will": "william", "billy": "william", "liam": "william", "dick": "richard", "rick": "richard", "rich": "richard", "jim": "james", "jimmy": "james", "jamie": "james",
@@ -49,8 +50,6 @@ NICKNAMES = {
     "matt": "matthew", "greg": "gregory", "jeff": "jeffrey", "ken": "kenneth", "larry": "lawrence", "pat": "patrick", "pete": "peter", "phil": "philip", "ray": "raymond", "ron": "ronald", "tim": "timothy", "vicky": "victoria",
     "becky": "rebecca", "debbie": "deborah", "jenny": "jennifer", "jen": "jennifer", "mandy": "amanda", "nan": "nancy", "patty": "patricia", "trish": "patricia", "sally": "sarah", "theo": "theodore", "abby": "abigail", "gus": "gustav", "max": "maximilian", "bella": "isabella", "cesca": "francesca", "bea": "beatriz", "andi": "andreas", "vic": "viktor", "lex": "alexander", "nadi": "nadia", "hans": "johannes", "sepp": "josef", "toni": "antonio", "pepe": "jose", "paco": "francisco", "lupe": "guadalupe",
 }
-# Initials of short forms and those of the names they stand for
-NICK_INITIALS = {n[0]: "".join(sorted({f[0] for m, f in NICKNAMES.items() if m[0] == n[0] and f[0] != n[0]})) for n in NICKNAMES}
 _INITIALS = re.compile(r"^(?:[^\W\d_]\.-?)+[^\W\d_]?\.?$")
 _KEYS = {c: (r, k + 0.4 * r) for r, row in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for k, c in enumerate(row)}
 
@@ -59,7 +58,7 @@ def _letters(text: str) -> str:
     return "".join(c for c in text if c.isalpha())
 
 
-def parse(name: str) -> list[tuple[str, str, str, str, int]]:
+def parse(name: str, nick: dict[str, str] = NICKNAMES) -> list[tuple[str, str, str, str, int]]:
     """Ways to read a name: (surname, halves of a double surname, given names, initials, whether the order is open); the given names 'g' mark a group."""
     text = fold_py(name).replace("`", "'")
     raw = re.split(r"\s+", re.sub(r"\s*,\s*", " , ", text).strip())
@@ -99,7 +98,7 @@ def parse(name: str) -> list[tuple[str, str, str, str, int]]:
         key = _letters("".join(surname))
         plain = [w for w in surname if w not in PARTICLES]
         halves = [h for h in (_letters(x) for w in plain for x in w.split("-")) if len(h) > 3]
-        full = [_letters(g) for g in given if not _INITIALS.match(g) and len(_letters(g)) > 1 and not (len(g) <= 3 and g not in NICKNAMES and _is_upper(g, upper))]
+        full = [_letters(g) for g in given if not _INITIALS.match(g) and len(_letters(g)) > 1 and not (len(g) <= 3 and g not in nick and _is_upper(g, upper))]
         initials = "".join(p[0] if len(_letters(p)) > 1 and not _is_upper(p, upper) else _letters(p) for g in given for p in re.split(r"[-.]", g) if _letters(p))
         if key:
             found.append((key, " ".join(halves) if len(halves) > 1 else "", full[0] if full else "", initials, order))
@@ -144,9 +143,12 @@ def _near_key(a: str, b: str) -> bool:
 
 
 def slip(base: str, typed: str) -> str:
-    """The kind of slip that turns base into typed, '' if none does."""
-    if base[0] != typed[0]:
-        return ""
+    """The kind of slip that turns base into typed, '' if none does; slips of the first letter are kinds of their own."""
+    kind = _slip(base, typed)
+    return f"first {kind}" if kind and base[0] != typed[0] else kind
+
+
+def _slip(base: str, typed: str) -> str:
     if len(base) == len(typed):
         d = [i for i in range(len(base)) if base[i] != typed[i]]
         if len(d) == 2 and d[1] == d[0] + 1 and base[d[0]] == typed[d[1]] and base[d[1]] == typed[d[0]]:
@@ -154,41 +156,60 @@ def slip(base: str, typed: str) -> str:
         return "key" if len(d) == 1 and _near_key(base[d[0]], typed[d[0]]) else ""
     if len(typed) == len(base) + 1:
         k = next((i for i in range(len(base)) if base[i] != typed[i]), len(base))
-        if typed[k] == typed[k - 1]:
+        if k and typed[k] == typed[k - 1]:
             return "double"
-        return "extra" if _near_key(typed[k], typed[k - 1]) or (k + 1 < len(typed) and _near_key(typed[k], typed[k + 1])) else ""
+        return "extra" if (k and _near_key(typed[k], typed[k - 1])) or (k + 1 < len(typed) and _near_key(typed[k], typed[k + 1])) else ""
     return "lost" if len(typed) + 1 == len(base) else ""
 
 
-def agree(full_1: str, initials_1: str, full_2: str, initials_2: str) -> int:
+def agree(full_1: str, initials_1: str, full_2: str, initials_2: str, nick: dict[str, str] = NICKNAMES) -> int:
     """How far given names agree: 0 not, 1 one abbreviates the other, 2 one equal initial, 3 two equal initials, 4 equal given names."""
-    if not initials_1 or not initials_2:
-        return 0
-    if initials_1 == "*" or initials_2 == "*":
-        return 2 * (initials_1 == initials_2)
-    ways_1 = [(full_1, initials_1)] + ([(NICKNAMES[full_1], NICKNAMES[full_1][0] + initials_1[1:])] if full_1 in NICKNAMES else [])
-    ways_2 = [(full_2, initials_2)] + ([(NICKNAMES[full_2], NICKNAMES[full_2][0] + initials_2[1:])] if full_2 in NICKNAMES else [])
-    return max(_agree(a, b, c, d) for a, b in ways_1 for c, d in ways_2)
-
-
-def _agree(a: str, x: str, b: str, y: str) -> int:
-    if a and b:
-        if a == b or (min(len(a), len(b)) > 3 and distance(a, b, 1) <= 1):
-            return 4
-        return int(min(len(a), len(b)) >= 3 and (a[:3] == b[:3] if min(len(a), len(b)) < 5 else a.startswith(b) or b.startswith(a)))
-    if x == y:
-        return 3 if len(x) > 1 else 2
-    short, long = sorted((x, y), key=len)
-    rest = iter(long)
-    return int(short[0] == long[0] and all(c in rest for c in short))
-
-
-def read_names(names: DataFrame) -> DataFrame:
+    return agree_any([(full_1, initials_1)], [(full_2, initials_2)], nick)
+
+
+def agree_any(ones: list[tuple[str, str]], others: list[tuple[str, str]], nick: dict[str, str] = NICKNAMES) -> int:
+    """The furthest that any of some (given names, initials) agree with any of others, short forms read both ways; by sets, so in proportion to both."""
+    x, y = ([(f, i) for f, i in side if i] for side in (ones, others))
+    if any(i == "*" for _, i in x) or any(i == "*" for _, i in y):
+        return 2 * (("*" in {i for _, i in x}) and ("*" in {i for _, i in y}))
+    x, y = (side + [(nick[f], nick[f][0] + i[1:]) for f, i in side if f in nick] for side in (x, y))
+    a, b = ({f for f, _ in side if f} for side in (x, y))
+    if a & b or _any_near(a, b):
+        return 4
+    bare_x, bare_y = ({i for f, i in side if not f} for side in (x, y))
+    all_x, all_y = ({i for _, i in side} for side in (x, y))
+    equal = (bare_x & all_y) | (all_x & bare_y)
+    if equal:
+        return 3 if any(len(i) > 1 for i in equal) else 2
+    starts = lambda side: {i[:n] for i in side for n in range(1, len(i))}
+    if (starts(bare_x) & all_y) | (starts(all_x) & bare_y) | (bare_x & starts(all_y)) | (all_x & starts(bare_y)):
+        return 1
+    cut_off = lambda p, q: any(f[:n] in p for f in q for n in range(3, len(f)))
+    alike = {f[:3] for f in a if len(f) in (3, 4)} & {f[:3] for f in b} | {f[:3] for f in a} & {f[:3] for f in b if len(f) in (3, 4)}
+    return int(bool(alike) or cut_off(a, b) or cut_off(b, a))
+
+
+def _any_near(a: set[str], b: set[str]) -> bool:
+    """Whether any word of over three letters is within one error of one of the others: both lose one letter and are compared then."""
+    less: dict[str, list[str]] = defaultdict(list)
+    for x in a:
+        if len(x) > 3:
+            for k in {x, *(x[:i] + x[i + 1 :] for i in range(len(x)))}:
+                less[k].append(x)
+    for y in b:
+        if len(y) > 3:
+            for k in {y, *(y[:i] + y[i + 1 :] for i in range(len(y)))}:
+                if any(distance(x, y, 1) <= 1 for x in less.get(k, ())):
+                    return True
+    return False
+
+
+def read_names(names: DataFrame, nick: dict[str, str] = NICKNAMES) -> DataFrame:
     """names (name, n) to one row per way to read each: (name, n, surname, halves, wide, full, initials, open)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(name, n, s, h, umlaut_key(name, s), f, i, o) for name, n in zip(b["name"], b["n"], strict=True) for s, h, f, i, o in parse(name)]
+            rows = [(name, n, s, h, umlaut_key(name, s), f, i, o) for name, n in zip(b["name"], b["n"], strict=True) for s, h, f, i, o in parse(name, nick)]
             yield pd.DataFrame(rows, columns=["name", "n", "surname", "halves", "wide", "full", "initials", "open"])
 
     return names.mapInPandas(run, "name string, n long, surname string, halves string, wide string, full string, initials string, open int")
@@ -259,7 +280,7 @@ def oddness(model: dict[str, float], surname: str) -> float:
     return min(model.get(text[i : i + 3], model.get(text[i : i + 2] + "*", -3.3)) for i in range(len(text) - 2))
 
 
-def _evidence(model: dict[str, float]):
+def _evidence(model: dict[str, float], nick: dict[str, str]):
     @F.pandas_udf("kind string, odd int, rare int, level int, flip boolean")
     def run(a: pd.Series, na: pd.Series, ga: pd.Series, b: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.DataFrame:
         out = []
@@ -269,7 +290,7 @@ def _evidence(model: dict[str, float]):
             kind = slip(base, typed)
             if not kind and nx == ny and (kind := slip(typed, base)):
                 flip, base, typed = not flip, typed, base
-            level = max((agree(p["full"], p["initials"], q["full"], q["initials"]) for p in gx for q in gy), default=0)
+            level = agree_any([(p["full"], p["initials"]) for p in gx], [(p["full"], p["initials"]) for p in gy], nick)
             out.append((kind, int(oddness(model, typed) < oddness(model, base) - 1.5), min(int(n), 3), level, flip))
         return pd.DataFrame(out, columns=["kind", "odd", "rare", "level", "flip"])
 
@@ -293,12 +314,12 @@ def _believed(counts: list) -> set[tuple[str, int, int, int]]:
     for (kind, odd, rare), levels in table.items():
         for level in (1, 2, 3, 4):
             n = levels.get(level, 0)
-            if kind and n and 1 - (levels.get(0, 0) * chance[rare][level] + 0.3) / n > BELIEF:
+            if kind and n and 1 - (levels.get(0, 0) * chance[rare][level] + 1.0) / n > BELIEF:
                 out.add((kind, odd, rare, level))
     return out
 
 
-def link_surnames(ways: DataFrame) -> DataFrame:
+def link_surnames(ways: DataFrame, nick: dict[str, str] = NICKNAMES) -> DataFrame:
     """(surname, root): the surname that each slip of the pen stands for; surnames that are no slip aren't listed."""
     people = ways.filter("initials != '*'")
     table = people.groupBy("surname").agg(F.sum("n").alias("n"), F.collect_set(F.struct("full", "initials")).alias("given"))
@@ -308,7 +329,7 @@ def link_surnames(ways: DataFrame) -> DataFrame:
     near = trie_join(table.select("surname").distinct())
     one, two = (table.select(*[F.col(c).alias(f"{c}_{k}") for c in table.columns]) for k in "ab")
     pairs = near.join(one, F.col("a") == F.col("surname_a")).join(two, (F.col("b") == F.col("surname_b")) & (F.col("group_a") == F.col("group_b")))
-    judged = cut(pairs.select("a", "b", "n_a", "n_b", "group_a", _evidence(model)("a", "n_a", "given_a", "b", "n_b", "given_b").alias("e")).select("*", "e.*").drop("e"))
+    judged = cut(pairs.select("a", "b", "n_a", "n_b", "group_a", _evidence(model, nick)("a", "n_a", "given_a", "b", "n_b", "given_b").alias("e")).select("*", "e.*").drop("e"))
     counts = judged.filter("not group_a").groupBy("kind", "odd", "rare", "level").count().collect()  # a few hundred rows
     believed = _believed([tuple(r) for r in counts])
     taken = F.struct("kind", "odd", "rare", "level").isin([F.struct(*[F.lit(x) for x in k]) for k in sorted(believed)]) if believed else F.lit(False)
@@ -324,60 +345,64 @@ def link_surnames(ways: DataFrame) -> DataFrame:
     return best.join(second, "root", "left").select("surname", F.coalesce("root_2", "root").alias("root"))
 
 
-def link_halves(ways: DataFrame) -> DataFrame:
+def link_halves(ways: DataFrame, nick: dict[str, str] = NICKNAMES) -> DataFrame:
     """(name, surname): halves of double surnames under which the same given names are met, as further surnames of the name."""
     halves = ways.filter("halves != ''").select("name", "n", "full", "initials", "surname", F.explode(F.split("halves", " ")).alias("half"))
     single = ways.filter("initials != '*'").select(F.col("surname").alias("half"), F.col("initials").alias("i2"), F.col("full").alias("f2")).distinct()
-    met = halves.join(single, "half").withColumn("level", _agreement("full", "initials", "f2", "i2"))
+    met = halves.join(single, "half").withColumn("level", _agreement(nick)("full", "initials", "f2", "i2"))
     good = met.filter(F.col("level") >= 2)
     return good.select("name", F.col("half").alias("surname")).distinct()
 
 
-def short_form(full_1: str, initials_1: str, full_2: str, initials_2: str) -> bool:
-    """Whether one lone initial is that of a short form of the other's first name: `T.` for Anthony, `B.` for William."""
-    ways = ((initials_1, full_2, initials_2, full_1), (initials_2, full_1, initials_1, full_2))
-    for nick, full, initials, own in ways:
-        if own or len(nick) != 1 or not initials or initials == "*":
-            continue
-        if full:
-            if any(n[0] == nick and f == full for n, f in NICKNAMES.items()):
-                return True
-        elif initials[0] in NICK_INITIALS.get(nick, ""):
-            return True
-    return False
+def _agreement(nick: dict[str, str]):
+    @F.pandas_udf(IntegerType())
+    def run(f1: pd.Series, i1: pd.Series, f2: pd.Series, i2: pd.Series) -> pd.Series:
+        return pd.Series([agree(*x, nick) for x in zip(f1, i1, f2, i2, strict=True)], dtype="int32")
 
+    return run
 
-@F.pandas_udf(IntegerType())
-def _agreement(f1: pd.Series, i1: pd.Series, f2: pd.Series, i2: pd.Series) -> pd.Series:
-    return pd.Series([agree(*x) or int(short_form(*x)) for x in zip(f1, i1, f2, i2, strict=True)], dtype="int32")
 
+def link_names(names: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
+    """names (name) to (name_1, name_2): spellings of one author, name_1 < name_2 by code point.
 
-def link_names(names: DataFrame) -> DataFrame:
-    """names (name) to (name_1, name_2): spellings of one author, name_1 < name_2 by code point."""
+    nicknames (short, full), a table of short forms of given names, goes to every task and replaces the default list NICKNAMES; it may
+    have up to NICK_LIMIT rows.
+    """
+    nick = NICKNAMES
+    if nicknames is not None:
+        listed = nicknames.select("short", "full").filter("short != '' and full != ''").distinct().limit(NICK_LIMIT + 1).collect()
+        if len(listed) > NICK_LIMIT:
+            raise ValueError(f"more than {NICK_LIMIT} short forms")
+        nick = {_letters(fold_py(a)): _letters(fold_py(b)) for a, b in sorted(listed)}
     counted = names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
-    ways = cut(settle_order(read_names(counted)))
-    roots = link_surnames(ways)
+    ways = cut(settle_order(read_names(counted, nick)))
+    roots = link_surnames(ways, nick)
     wide = ways.filter("wide != ''").select("name", F.col("wide").alias("surname"))
     wide = wide.unionByName(ways.filter("surname like '%rn%'").select("name", F.replace("surname", F.lit("rn"), F.lit("m")).alias("surname")))
     # a name stands under its surname, the digraph form of it where somebody writes so, and halves under which it is met
     used = ways.select("surname").distinct()
-    more = wide.join(used, "surname", "left_semi").unionByName(link_halves(ways).select("name", "surname"))
-    given = ways.select("name", "full", "initials")
+    more = wide.join(used, "surname", "left_semi").unionByName(link_halves(ways, nick).select("name", "surname"))
     under = ways.select("name", "surname").unionByName(more.select("name", "surname")).distinct()
+    given = ways.select("name", "full", "initials")
     rooted = under.join(roots, "surname", "left").select("name", F.coalesce("root", "surname").alias("root")).distinct().join(given, "name")
-    letter = F.substring("initials", 1, 1)
-    formal = F.create_map(*[F.lit(x) for kv in NICK_INITIALS.items() for x in kv])
-    lone = F.when((F.col("full") == "") & (F.length("initials") == 1), F.split(F.coalesce(F.try_element_at(formal, letter), F.lit("")), "")).otherwise(F.array().cast("array<string>"))
-    first = F.array_distinct(F.concat(F.array(letter, F.substring(_full_form("full"), 1, 1)), lone))
-    placed = cut(rooted.select("name", "root", "full", "initials", F.explode(F.filter(first, lambda c: c != "")).alias("first")))
-    other = placed.select(F.col("name").alias("name_2"), "root", "first", F.col("full").alias("f2"), F.col("initials").alias("i2"))
-    met = placed.withColumnRenamed("name", "name_1").join(other, ["root", "first"]).filter("name_1 < name_2")
-    return met.filter(_agreement("full", "initials", "f2", "i2") > 0).select("name_1", "name_2").distinct()
-
-
-@F.pandas_udf(StringType())
-def _full_form(full: pd.Series) -> pd.Series:
-    return full.map(lambda x: NICKNAMES.get(x, x))
+    first = F.array_distinct(F.array(F.substring("initials", 1, 1), F.substring(_full_form(nick)("full"), 1, 1)))
+    placed = rooted.select("name", "root", "full", "initials", F.explode(F.filter(first, lambda c: c != "")).alias("first"))
+    # spellings of equal given names are one form: forms meet first, their spellings last
+    placed = cut(placed.withColumn("form", F.xxhash64("root", "first", "full", "initials")))
+    forms = placed.select("root", "first", "full", "initials", "form").distinct()
+    other = forms.select("root", "first", F.col("full").alias("f2"), F.col("initials").alias("i2"), F.col("form").alias("form_2"))
+    alike = forms.join(other, ["root", "first"]).filter("form <= form_2").filter(_agreement(nick)("full", "initials", "f2", "i2") > 0).select("form", "form_2")
+    one, two = placed.select("form", F.col("name").alias("x")), placed.select(F.col("form").alias("form_2"), F.col("name").alias("y"))
+    met = alike.join(one, "form").join(two, "form_2").filter("x != y")
+    return met.select(F.least("x", "y").alias("name_1"), F.greatest("x", "y").alias("name_2")).distinct()
+
+
+def _full_form(nick: dict[str, str]):
+    @F.pandas_udf(StringType())
+    def run(full: pd.Series) -> pd.Series:
+        return full.map(lambda x: nick.get(x, x))
+
+    return run
 
 
 def names_with_affiliations(cell: Column) -> Column:

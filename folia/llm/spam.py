@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -44,7 +45,7 @@ _NAMES = ["<s>", *FUNCTION_WORDS, "ing", "ed", "ly", "noun", "adj", "plural", "w
 CLASS = {n: i for i, n in enumerate(_NAMES)}
 CLASSES = len(_NAMES)
 _FUNCTION = {w: CLASS[k] for k, ws in reversed(FUNCTION_WORDS.items()) for w in ws.split()}
-_TOKEN = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+|[a-z][\w-]*(?:\.[a-z][\w-]+)+(?:/[^\s<>\"')\]|]*)?|#\w+|\.{3,}|…|\d+(?:[.,]\d+)*|[^\W\d_][\w'’-]*|\S|\n")
+_TOKEN = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+|[a-z][\w-]*+(?:\.[a-z][\w-]++)++(?:/[^\s<>\"')\]|]*)?|#\w+|\.{3,}|…|\d+(?:[.,]\d+)*|[^\W\d_][\w'’-]*|\S|\n")
 _END = re.compile(r"(?<=[.?!])[\"'”)]*\s+(?=[\"'“(\[#<]*[^\W\d_a-zà-ÿ])|\n+")
 _PROSE = re.compile(r"^[\"'“(]*[^\W\d_].*[.?!][\"'”)]*$", re.S)
 HIGH, LOW = 3.0, 5.0  # standard deviations above and below the mean surprise of prose
@@ -95,13 +96,20 @@ _CONTENT = np.array([n in {"ing", "ed", "ly", "noun", "adj", "plural", "word", "
 
 
 class Known(dict):
-    """Classes of tokens met so far, forgotten when there are too many."""
+    """Tokens met so far: class, and from the ninth bit on the number of the word in lower case; forgotten between batches when there are too many."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
 
     def __missing__(self, token: str) -> int:
+        value = self[token] = token_class(token) | self.words.setdefault(token.lower(), len(self.words)) << 8
+        return value
+
+    def trim(self) -> None:
         if len(self) > 300_000:
             self.clear()
-        value = self[token] = token_class(token)
-        return value
+            self.words.clear()
 
 
 def segments(text: str) -> list[str]:
@@ -120,7 +128,8 @@ def _ids(segment: str, known: Known) -> list[int]:
 def count_trigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     known, total = Known(), np.zeros(CLASSES**3, np.int64)
     for b in batches:
-        ids = np.array([i for t in b["text"] for s in segments(t) if _is_prose(s) for i in _ids(s, known)], np.int64)
+        known.trim()
+        ids = 255 & np.array([i for t in b["text"] for s in segments(t) if _is_prose(s) for i in _ids(s, known)], np.int64)
         if len(ids) > 2:
             key = (ids[:-2] * CLASSES + ids[1:-1]) * CLASSES + ids[2:]
             total += np.bincount(key[ids[2:] != 0], minlength=CLASSES**3)
@@ -149,7 +158,9 @@ def judge(texts: list[str], model: Model, known: Known) -> tuple[np.ndarray, np.
         return np.zeros(len(texts)), np.zeros(len(texts))
     tokens = [_TOKEN.findall(s) for _, s in parts]
     length = np.array([len(x) for x in tokens])
-    ids = np.fromiter((i for x in tokens for i in (0, 0, *map(known.__getitem__, x))), np.int64, int(length.sum()) + 2 * len(parts))
+    known.trim()
+    codes = np.fromiter(chain.from_iterable([0, 0, *map(known.__getitem__, x)] for x in tokens), np.int64, int(length.sum()) + 2 * len(parts))
+    ids = codes & 255
     bits = np.zeros(len(ids))
     bits[2:] = model.bits[ids[:-2], ids[1:-1], ids[2:]]
     bits[ids == 0] = 0.0
@@ -162,7 +173,7 @@ def judge(texts: list[str], model: Model, known: Known) -> tuple[np.ndarray, np.
     mean = (np.bincount(group, np.add.reduceat(bits, starts)) / size)[group]
     sigma = (model.spread / np.sqrt(size))[group]
     function = np.add.reduceat((ids > 0) & (ids <= len(FUNCTION_WORDS)), starts, dtype=float)
-    own, said = _own_words(tokens, ids, length, doc, function)
+    own, said = _own_words(codes, length, doc, function)
     narrow = (own < OWN_WORDS) & (said < SAID)
     worded = (np.bincount(group, function) / size)[group] >= WORDED
     odd = ((mean > model.mean + HIGH * sigma + SLACK) & ~worded) | (mean < model.mean - LOW * sigma - SLACK) | narrow
@@ -171,7 +182,7 @@ def judge(texts: list[str], model: Model, known: Known) -> tuple[np.ndarray, np.
     return np.bincount(doc, length, len(texts)), np.bincount(doc, length * odd, len(texts))
 
 
-def _own_words(tokens: list[list[str]], ids: np.ndarray, length: np.ndarray, doc: np.ndarray, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _own_words(codes: np.ndarray, length: np.ndarray, doc: np.ndarray, function: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each line the perplexity of the content words of its passage, each drawn from the others and PRIOR unseen ones, and the share of function words.
 
     A passage is a run of whole lines of one page with PASSAGE tokens or more, the rest of the page joining the last one.
@@ -182,13 +193,12 @@ def _own_words(tokens: list[list[str]], ids: np.ndarray, length: np.ndarray, doc
     of_page = np.bincount(doc, length)[doc]
     number = np.minimum((ends - length - start) // PASSAGE, np.maximum(of_page // PASSAGE - 1, 0)).astype(np.int64)
     passage = np.cumsum(np.r_[True, (np.diff(doc) != 0) | (np.diff(number) != 0)]) - 1
-    line = np.repeat(np.arange(len(tokens)), length)
-    words = np.fromiter((hash(w.lower()) for x in tokens for w in x), np.int64, int(length.sum()))
-    content = _CONTENT[ids[ids != 0]]
+    line = np.repeat(np.arange(len(length)), length)
+    codes = codes[codes != 0]
+    content = _CONTENT[codes & 255]
     at = passage[line[content]]
-    same = pd.DataFrame({"p": at, "w": words[content]}).value_counts(sort=False)
-    own = same.index.get_level_values("p").to_numpy()
-    count = same.to_numpy().astype(float)
+    pair, count = np.unique(at * (1 << 32) + (codes[content] >> 8), return_counts=True)
+    own = pair >> 32
     n = np.bincount(at, minlength=passage[-1] + 1).astype(float)
     again = np.bincount(own, count * (count - 1), len(n)) / np.maximum(n * (n - 1 + PRIOR), 1)
     said = np.bincount(passage, function) / np.maximum(np.bincount(passage, length), 1)
