@@ -1,32 +1,29 @@
 """Problem 1: the best representative of each group of copies.
 
-Method: token-level consensus. The values of a group that count are aligned progressively, the heaviest first; their tokens
-vote with their value's weight in every column of the alignment; the existing value closest to the voted consensus is kept.
+Method (`represent`): token-level consensus. The values of a group that count are aligned progressively, the heaviest first; their
+tokens vote with their value's weight in every column of the alignment; the existing value closest to the voted consensus is
+kept. Weights are bounded, and equal values of several copies add up, so many copies outvote a single trusted one.
 
-Weights come from an order of precedence (trust, then recency, then the smallest key): the value of rank r among the distinct
-values of its group weighs 2 ** -r, so a better value outvotes all worse ones together, as the rule for the fields asks.
-Therefore values beyond rank DEEPEST, which together weigh less than the last one kept and can't turn any vote, take no part.
-Plain weights (`precedence=False`) let equal values add up instead; then all distinct values of a group vote.
+Where a field's rule is an order of precedence (trust, then recency, then the smallest key) no vote can give the required value: one
+trusted copy must win over any number of others. `represent_first` follows such a rule; the README says how often votes differ.
 
-Distinct values with their best precedence are found by a pre-aggregating shuffle, the ranks by a group-limited window; no group
-of copies is ever gathered row by row.
+Distinct values with their best precedence and their summed weight are found by a pre-aggregating shuffle; no group of copies is
+ever gathered row by row.
 
 Defined cases: a group without a value that counts gets `unknown`; a group whose members aren't in the table too; NULLs don't
-count; repeated rows change nothing; ties go to the smaller key, then the smaller value; other columns are ignored.
+count; repeated rows of one member add weight only where the caller keeps them; ties go to the better precedence, then the smaller
+value; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-DEEPEST = 30
 UNKNOWN = "unknown"
 _TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\w\s]|_")
 
@@ -84,11 +81,6 @@ def _token_distance(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-@F.pandas_udf(StringType())
-def _by_rank(values: pd.Series) -> pd.Series:
-    return pd.Series([consensus(list(v), [2.0**-r for r in range(len(v))]) for v in values], dtype=object)
-
-
 @F.pandas_udf(StringType())
 def _by_weight(values: pd.Series, weights: pd.Series) -> pd.Series:
     return pd.Series([consensus(list(v), list(w)) for v, w in zip(values, weights, strict=True)], dtype=object)
@@ -109,17 +101,23 @@ def drop_beginnings(values: DataFrame, group: str, field: str) -> DataFrame:
     return values.withColumn("_cut", cut).filter(~F.col("_cut")).drop("_cut")
 
 
-def represent(groups: DataFrame, values: DataFrame, group: str, fields: list[str], precedence: bool = True) -> DataFrame:
-    """One row per group with the consensus of each field."""
-    if precedence:
-        w = Window.partitionBy(group, "_field").orderBy("_rank", "_value")
-        values = values.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= DEEPEST)
-    sorted_values = F.sort_array(F.collect_list(F.struct("_rank", "_value", "_weight")))
-    lists = values.groupBy(group, "_field").agg(sorted_values.alias("_l"))
-    vote: Callable = (lambda c: _by_rank(c["_value"])) if precedence else (lambda c: _by_weight(c["_value"], c["_weight"]))
+def represent(groups: DataFrame, values: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """One row per group with the consensus of each field: (group, fields); values as distinct_values gives them."""
+    lists = values.groupBy(group, "_field").agg(F.sort_array(F.collect_list(F.struct("_rank", "_value", "_weight"))).alias("_l"))
     one = lists.filter(F.size("_l") == 1).select(group, "_field", F.col("_l")[0]["_value"].alias("_best"))
-    more = lists.filter(F.size("_l") > 1).select(group, "_field", vote(F.col("_l")).alias("_best"))
+    more = lists.filter(F.size("_l") > 1).select(group, "_field", _by_weight("_l._value", "_l._weight").alias("_best"))
     wide = one.unionByName(more).groupBy(group).agg(*[F.max(F.when(F.col("_field") == f, F.col("_best"))).alias(f) for f in fields])
+    return _all_groups(groups, wide, group, fields)
+
+
+def represent_first(groups: DataFrame, values: DataFrame, group: str, fields: list[str]) -> DataFrame:
+    """One row per group with the value of the best precedence of each field: (group, fields)."""
+    own = lambda f, c: F.when(F.col("_field") == f, F.col(c))
+    wide = values.groupBy(group).agg(*[F.min_by(own(f, "_value"), F.when(F.col("_field") == f, F.struct("_rank", "_value"))).alias(f) for f in fields])
+    return _all_groups(groups, wide, group, fields)
+
+
+def _all_groups(groups: DataFrame, wide: DataFrame, group: str, fields: list[str]) -> DataFrame:
     return groups.select(group).filter(F.col(group).isNotNull()).distinct().join(wide, group, "left").select(group, *[F.coalesce(f, F.lit(UNKNOWN)).alias(f) for f in fields])
 
 

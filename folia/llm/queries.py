@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folia.llm import sql
 from folia.llm.canonical import map_to_list
-from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, type_value
+from folia.llm.consensus import distinct_values, doi_value, drop_beginnings, issn_value, represent, represent_first, type_value
 from folia.llm.leaks import find_leaks
 from folia.llm.lookalikes import find_lookalikes
 from folia.llm.matching import match_sources
@@ -30,11 +30,22 @@ def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(types, "_alias", "left").join(trust, "db", "left").withColumn("trust_rank", F.coalesce("trust_rank", F.lit(2**31 - 1)))
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that count of the three fields; trusted sources vote more."""
     fields = {"doi": doi_value(F.col("doi")), "document_type": F.col("_type"), "issn": issn_value(F.col("issn"))}
     recent = -F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**62)))
-    values = distinct_values(_p1_rows(spark, sf_dir), "group_id", fields, [F.col("trust_rank"), recent, F.col("pub_id")])
-    return represent(read(spark, sf_dir, "article_groups"), drop_beginnings(values, "group_id", "doi"), "group_id", list(fields))
+    values = distinct_values(_p1_rows(spark, sf_dir), "group_id", fields, [F.col("trust_rank"), recent, F.col("pub_id")], F.lit(1.0) / F.greatest("trust_rank", F.lit(1)))
+    return drop_beginnings(values, "group_id", "doi")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of the fields is an order of precedence, which no vote gives (README)."""
+    return represent_first(read(spark, sf_dir, "article_groups"), _p1_values(spark, sf_dir), "group_id", ["doi", "document_type", "issn"])
+
+
+def p1_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields by token-level consensus."""
+    return represent(read(spark, sf_dir, "article_groups"), _p1_values(spark, sf_dir), "group_id", ["doi", "document_type", "issn"])
 
 
 def p1_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +53,7 @@ def p1_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(~F.trim("title").isin("", "unknown", "Unknown", "empty"), F.trim("title"))
     rows = _p1_rows(spark, sf_dir)
     values = distinct_values(rows, "group_id", {"title": title}, [F.col("trust_rank"), F.col("pub_id")], F.lit(1.0) / F.greatest("trust_rank", F.lit(1)))
-    return represent(read(spark, sf_dir, "article_groups"), values, "group_id", ["title"], precedence=False)
+    return represent(read(spark, sf_dir, "article_groups"), values, "group_id", ["title"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ from folia.llm import canonical, consensus, lookalikes
 
 def test_alignment_votes():
     assert consensus.consensus(["10.1/abc", "10.1/abd", "10.1/abd"], [1.0, 1.0, 1.0]) == "10.1/abd"
-    values = ["a b c", "a x c", "a b", "q"]
-    for order in itertools.permutations(values):
-        assert consensus.consensus(list(order), [2.0**-r for r in range(4)]) == order[0]  # the first outvotes the rest
+    for order in itertools.permutations([("a b c", 1.0), ("a x c", 0.6), ("a b d", 0.6), ("q", 0.5)]):
+        assert consensus.consensus(*map(list, zip(*order, strict=True))) == "a b c"  # voted for by others' tokens too
+    assert consensus.consensus(["10.1/trusted", "10.1/other", "10.1/others"], [1.0, 1.4, 0.5]) == "10.1/other"
     assert consensus.consensus(["same"], [0.1]) == "same"
     assert consensus.consensus(["a b c d", "a b c e", "a b f d"], [1.0, 1.0, 1.0]) == "a b c d"
 
@@ -29,8 +29,18 @@ def test_representative(spark, rows):
     df = spark.createDataFrame(data, "g long, pub_id long, doi string, rank int").withColumn("_value", F.lit("clash"))
     values = consensus.distinct_values(df, "g", {"doi": consensus.doi_value(F.col("doi"))}, [F.col("rank"), F.col("pub_id")])
     groups = spark.createDataFrame([(1,), (2,), (3,), (1,), (None,)], "g long")
-    assert rows(consensus.represent(groups, consensus.drop_beginnings(values, "g", "doi"), "g", ["doi"])) == [(1, "10.1234/abcdef"), (2, "unknown"), (3, "unknown")]
-    assert consensus.represent(groups.limit(0), values.limit(0), "g", ["doi"]).count() == 0
+    for choose in (consensus.represent, consensus.represent_first):
+        assert rows(choose(groups, consensus.drop_beginnings(values, "g", "doi"), "g", ["doi"])) == [(1, "10.1234/abcdef"), (2, "unknown"), (3, "unknown")]
+        assert choose(groups.limit(0), values.limit(0), "g", ["doi"]).count() == 0
+
+
+def test_votes_and_precedence(spark, rows):
+    data = [(1, 1, "10.1234/one", 1), (1, 2, "10.1234/two", 3), (1, 3, "10.1234/two", 3), (1, 4, "10.1234/two", 2), (1, 5, "10.1234/tow", 3)]
+    df = spark.createDataFrame(data, "g long, pub_id long, doi string, rank int")
+    values = consensus.distinct_values(df, "g", {"doi": consensus.doi_value(F.col("doi"))}, [F.col("rank"), F.col("pub_id")], F.lit(1.0) / F.col("rank"))
+    groups = spark.createDataFrame([(1,)], "g long")
+    assert rows(consensus.represent(groups, values, "g", ["doi"])) == [(1, "10.1234/two")]  # copies add up
+    assert rows(consensus.represent_first(groups, values, "g", ["doi"])) == [(1, "10.1234/one")]
 
 
 def test_mapping(spark):
