@@ -16,23 +16,46 @@ ONE = np.uint64(1)
 
 def distance(a: str, b: str, most: int) -> int:
     """Edit distance with neighbour transpositions; most + 1 if it is larger."""
-    if abs(len(a) - len(b)) > most:
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
         return most + 1
     if a == b:
         return 0
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i] + [0] * len(b)
-        for j in range(1, len(b) + 1):
-            y = b[j - 1]
-            v = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row[j] = v
-        if min(row) > most and (not last or min(last) > most):
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
+    start, short = 0, min(n, m)
+    while start < short and a[start] == b[start]:
+        start += 1
+    while n > start and m > start and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    n, m = n - start, m - start
+    a, b = a[start : start + n], b[start : start + m]
+    if not n or not m:
+        found = n + m
+    elif n == m == 1 or (n == m == 2 and a[0] == b[1] and a[1] == b[0]):
+        found = 1
+    elif most < 2 or max(n, m) == 2:
+        found = 2
+    else:
+        found = _bit_distance(a, b)
+    return min(found, most + 1)
+
+
+def _bit_distance(a: str, b: str) -> int:
+    """The same without a bound, a column of the table in a few steps on whole numbers."""
+    n = len(a)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    up, down, same, before, found = full, 0, 0, 0, n
+    for y in b:
+        here = places.get(y, 0)
+        swapped = ((~same & here) << 1) & before
+        same = ((((here & up) + up) ^ up) | here | down | swapped) & full
+        more, less = down | (~(same | up) & full), same & up
+        found += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down, before = less | (~(same | more) & full), more & same, here
+    return found
 
 
 class LevTrie:

@@ -7,7 +7,8 @@ items, so the plan is made from at most capacity + 1 numbers whatever the corpus
 method's batches of one bucket, which leave a third of a small container empty (README).
 
 A text longer than the capacity is cut into full parts and a rest. Every part takes its place by its rank within its bucket;
-ranks are counted by partition first, so a bucket that holds a third of all texts is no bottleneck.
+ranks are counted by partition first, so a bucket that holds a third of all texts is no bottleneck. The plan that goes to every
+task has at most 2 * BUCKETS ** 2 runs: a step uses up a bucket or a run of containers, and a bucket leaves at most two runs more.
 
 Defined cases: a NULL text isn't an item; an empty text has no tokens and takes a place of size 0 in the first container; equal
 texts are items of their own; repeated rows of one id are one item; a capacity below 1 or NULL is refused; without items there
@@ -17,27 +18,30 @@ is no row; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.runtime import cut
 
 BUCKETS = 96
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of that public vocabulary (fixed value)
 
 
-def count_tokens(documents: DataFrame, doc_id: str, text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens) under a public tokenizer's vocabulary of ranks."""
+def count_tokens(documents: DataFrame, doc_id: str, text: str, vocabulary: str) -> DataFrame:
+    """(doc_id, tokens) under a public tokenizer's vocabulary of ranks, a file that is sent to every executor."""
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
+        with open(SparkFiles.get(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
         encoder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
@@ -114,11 +118,12 @@ def fill(tops: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int,
 def pack(sizes: DataFrame, capacities: list[tuple[int, int]], item: str) -> DataFrame:
     """sizes (item, tokens) to (capacity_id, container, item, part, tokens) for each of (capacity_id, max_tokens)."""
     out = None
+    sizes = cut(sizes.select(item, "tokens", F.spark_partition_id().alias("_block")))
     for capacity_id, capacity in capacities:
         if not capacity or capacity < 1:
             raise ValueError(f"a container needs room: {capacity}")
         part = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity).cast("int") - 1, F.lit(0)))
-        parts = sizes.select(item, "tokens", F.explode(part).alias("part")).select(item, "part", F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).alias("tokens"))
+        parts = sizes.select(item, "tokens", "_block", F.explode(part).alias("part")).select(item, "part", "_block", F.least(F.lit(capacity), F.col("tokens") - F.col("part") * capacity).alias("tokens"))
         rows = sorted(parts.groupBy("tokens").count().collect())  # at most capacity + 1 rows
         if not rows:
             continue
@@ -140,16 +145,15 @@ def pack(sizes: DataFrame, capacities: list[tuple[int, int]], item: str) -> Data
 
 
 def _rank(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """A dense rank from 0 within each group, counted in blocks of hashes so that no group is one task."""
-    blocks = rows.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(64)))
+    """A dense rank from 0 within each group: counted within the partitions (_block) of the stored sizes, which grow in number with the corpus, after the rows of those before."""
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.groupBy(group, "_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = rows.groupBy(group, "_block").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order)) - 1
-    return blocks.withColumn("_i", inside).join(offsets, [group, "_block"]).withColumn("rank", F.col("_i") + F.col("_start")).drop("_block", "_i", "_start")
+    return rows.withColumn("_i", inside).join(offsets, [group, "_block"]).withColumn("rank", F.col("_i") + F.col("_start")).drop("_block", "_i", "_start")
 
 
-def pack_documents(documents: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_documents(documents: DataFrame, capacities: DataFrame, doc_id: str = "doc_id", text: str = "text", *, vocabulary: str) -> DataFrame:
     """Containers of every capacity (a small table of settings) for all documents."""
-    sizes = cut(count_tokens(documents, doc_id, text, vocabulary))
+    sizes = count_tokens(documents, doc_id, text, vocabulary)
     listed = [(r[0], r[1]) for r in capacities.select("capacity_id", "max_tokens").distinct().orderBy("capacity_id").collect()]
     return pack(sizes, listed, doc_id)

@@ -19,6 +19,8 @@ from folia.llm.places import link_addresses
 from folia.llm.spam import find_spam
 from folia.runtime import read
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # the public tokenizer of p8_pack
+
 
 def _p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies of each group with their precedence; the type as the list of types writes it."""
@@ -101,7 +103,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "capacities"))
+    return pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "capacities"), vocabulary=VOCABULARY)
 
 
 def p9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

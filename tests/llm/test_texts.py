@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from folia.llm import leaks, packing, spam
+from folia.llm.queries import VOCABULARY
 
 
 def test_optimal_buckets_against_all_choices():
@@ -41,10 +42,10 @@ def test_pack(spark):
         packing.pack(df, [(1, 0)], "doc_id")
 
 
-@pytest.mark.skipif(not os.path.exists(packing.VOCABULARY), reason="no public vocabulary here")
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no public vocabulary here")
 def test_tokens(spark):
     docs = spark.createDataFrame([(1, "Hello world, hello", 9), (2, "", 9), (3, None, 9), (1, "Hello world, hello", 9)], "doc_id long, text string, tokens int")
-    assert {r.doc_id: r.tokens for r in packing.count_tokens(docs, "doc_id", "text").collect()} == {1: 4, 2: 0}
+    assert {r.doc_id: r.tokens for r in packing.count_tokens(docs, "doc_id", "text", VOCABULARY).collect()} == {1: 4, 2: 0}
 
 
 ITEM = "Oddly two Sumenu trainees had to replace the drag coefficient of Ravekebaane in nine of many trials so noise level fell by far while Galifobiite residue outran the Foloto trays next to foams"
