@@ -125,12 +125,14 @@ def normalize_country(c: Column, countries: list[str] | None = None) -> Column:
     return out.otherwise(NO_COUNTRY)
 
 
-def standard_address(c: Column, add_unknown_country: bool = True, countries: list[str] | None = None) -> Column:
-    """Words of an address in one writing, and its country by its listed name at the end."""
+def _address_words(c: Column) -> Column:
     text = standard_string(c)
     for word, pattern in ADDRESS_WORDS.items():
         text = F.regexp_replace(text, f"(?U){pattern}", f"{word} ")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"(?U)\s,", ",")
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"(?U)\s,", ",")
+
+
+def _with_country(text: Column, add_unknown_country: bool, countries: list[str] | None) -> Column:
     chunks = F.split(text, ",")
     last = F.element_at(F.split(F.element_at(chunks, -1), " - "), -1)
     country = normalize_country(strip(last), countries)
@@ -140,6 +142,16 @@ def standard_address(c: Column, add_unknown_country: bool = True, countries: lis
     return F.when(country != NO_COUNTRY, known).otherwise(unknown)
 
 
+def standard_addresses(values: Column, add_unknown_country: bool = True, countries: list[str] | None = None) -> Column:
+    """standard_address of every element of an array."""
+    return F.transform(F.transform(values, _address_words), lambda t: _with_country(t, add_unknown_country, countries))
+
+
+def standard_address(c: Column, add_unknown_country: bool = True, countries: list[str] | None = None) -> Column:
+    """Words of an address in one writing, and its country by its listed name at the end."""
+    return F.get(standard_addresses(F.array(c), add_unknown_country, countries), F.lit(0))  # the words are found once, not in each of their uses
+
+
 def normalize_journal(c: Column) -> Column:
     """A journal name in lower case with its usual parts shortened."""
     text = F.lower(F.concat(F.lit(" "), c, F.lit(" ")))
@@ -208,7 +220,7 @@ def normalize_name(c: pd.Series) -> pd.Series:
 
 
 def first_author(c: Column) -> Column:
-    """The first of several authors, its initials in capitals."""
-    name = normalize_name(F.element_at(F.split(c, ";"), 1))
+    """The first of several authors, its initials in capitals; parted by `;`, or by `,` where a cell has none."""
+    name = normalize_name(F.element_at(F.split(c, F.when(c.contains(";"), F.lit(";")).otherwise(F.lit(","))), 1))
     words = F.split(name, " ")
     return F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(F.upper(F.element_at(words, -1)))), " ")

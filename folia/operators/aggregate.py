@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,17 @@ MIN_OCCURRENCES = 3
 
 
 def success(items: DataFrame, pub_id: str, item: str, corpus: DataFrame, distinct: bool = True) -> DataFrame:
-    """(item, success_pct, failed_pub_ids): share of publications without an empty value of the item, and the others' ids."""
+    """(item, success_pct): share of publications without an empty value of the item; `failed` lists the others."""
     total = corpus.agg(F.count_distinct(pub_id).alias("total"))
     bad = F.when(F.col(item) == "", F.col(pub_id))
-    failed = items.agg((F.count_distinct(bad) if distinct else F.count(bad)).alias("bad"), F.array_sort(F.collect_set(bad)).alias("failed_pub_ids"))
-    share = F.round(100 * (1 - F.col("bad") / F.col("total")), 4)
-    return failed.crossJoin(total).select(F.lit(item).alias("item"), share.alias("success_pct"), "failed_pub_ids")  # one row each
+    counted = items.agg((F.count_distinct(bad) if distinct else F.count(bad)).alias("bad"))
+    share = F.round(100 * (1 - F.col("bad") / F.nullif("total", F.lit(0))), 4)
+    return counted.crossJoin(total).select(F.lit(item).alias("item"), share.alias("success_pct"))  # one row each
+
+
+def failed(items: DataFrame, pub_id: str, item: str) -> DataFrame:
+    """(item, pub_id): the publications with an empty value of the item."""
+    return items.filter(F.col(item) == "").select(F.lit(item).alias("item"), pub_id).distinct()
 
 
 def non_empty(items: DataFrame, item: str) -> DataFrame:
@@ -39,22 +46,29 @@ def roll_up(rows: DataFrame, pub_id: str = "pub_id", idx: str = "idx_author", or
     )
 
 
+Tagger = Callable[[Column], Column]  # a title to the array of its words that count, in order, repeated ones too
+
+
 def title_tokens(title: Column) -> Column:
-    """Distinct words of a title that carry a topic: letters, digits and inner hyphens, three characters or more."""
-    words = F.regexp_extract_all(F.lower(title), F.lit(r"[a-z0-9]+(?:-[a-z0-9]+)*"), F.lit(0))
-    return F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS) & ~w.rlike(r"^[0-9-]+$"))
+    """Words of a title that carry a topic: letters, digits and inner hyphens and dots, three characters or more; plurals by their singular.
+
+    The default of the hook `tagger`, where a column function that knows word classes may stand.
+    """
+    words = F.regexp_extract_all(F.lower(title), F.lit(r"[a-z0-9]+(?:[-.][a-z0-9]+)*"), F.lit(0))
+    kept = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS) & ~w.rlike(r"^[0-9.-]+$"))
+    return F.transform(kept, lambda w: F.when(w.rlike("(?:ss|us|is|[0-9.-])s?$"), w).otherwise(F.regexp_replace(F.regexp_replace(w, "(?<=[a-z]{2})ies$", "y"), "(?<=[a-z]{3})s$", "")))
 
 
-def title_keywords(rows: DataFrame, pub_id: str, title: str, least: int = MIN_OCCURRENCES) -> DataFrame:
-    """(pub_id, keyword): title words that stand in at least `least` titles of the corpus."""
-    words = rows.filter(F.col(title).isNotNull()).select(pub_id, F.explode(title_tokens(F.col(title))).alias("keyword"))
+def title_keywords(rows: DataFrame, pub_id: str, title: str, least: int = MIN_OCCURRENCES, tagger: Tagger = title_tokens) -> DataFrame:
+    """(pub_id, keyword): the distinct words of a title that occur at least `least` times in all titles of the corpus."""
+    words = rows.filter(F.col(title).isNotNull()).select(pub_id, F.explode(tagger(F.col(title))).alias("keyword"))
     kept = words.groupBy("keyword").count().filter(F.col("count") >= least).select("keyword")
-    return words.join(kept, "keyword", "left_semi").select(pub_id, "keyword")
+    return words.join(kept, "keyword", "left_semi").select(pub_id, "keyword").distinct()
 
 
-def word_counts(rows: DataFrame, title: str) -> DataFrame:
-    """(keyword, n): how many titles hold each word."""
-    return rows.select(F.explode(title_tokens(F.col(title))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
+def word_counts(rows: DataFrame, title: str, tagger: Tagger = title_tokens) -> DataFrame:
+    """(keyword, n): how often each word occurs in titles."""
+    return rows.select(F.explode(tagger(F.col(title))).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("n"))
 
 
 def first_known(column: str, order: list[str], longest: bool = False, unknown: str = UNKNOWN) -> Column:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.functions.normalize import EMPTY, NO_COUNTRY, PARTIAL, UNKNOWN, normalize_country, normalize_name, replace_chars, standard_address, standard_string, strip, unknown_address
+from folia.functions.normalize import EMPTY, NO_COUNTRY, PARTIAL, UNKNOWN, normalize_country, normalize_name, standard_addresses, strip, unknown_address
 
 SKIPPED_AUTHORS = ("Dr", "Pr", "Dr ", "Pr ")
-IN_BRACKETS = r"(?<=\[)[a-zA-Z,;\s.\-']*(?=,|\s)[a-zA-Z,;\s.\-']*(?=\])"
-AFTER_BRACKET = r"(?<=\]\s)[^;]*(?=;|$)"
+# Bracketed authors and the address behind them, matched together (fixed form).
+BRACKETS = r"\[([^\]]*)\]\s*([^;\[]*)"
 
 
 def authors_a(rows: DataFrame, pub_id: str, cell: str) -> DataFrame:
@@ -62,80 +62,88 @@ def valid_affiliations(cell: Column, strict: bool = False) -> Column:
     return F.coalesce(F.nullif(F.array_join(kept, "; "), F.lit("")), F.lit(UNKNOWN))
 
 
-def author_chunks(cell: Column) -> Column:
-    """The entries of a cell of authors with affiliations: (name, text), the name ending at the first or second comma."""
+def _entries(texts: Column) -> Column:
+    """(name, rest) of standardised entries of authors with affiliations, the name ending at the first or second comma."""
 
     def read(entry: Column) -> Column:
         parts = F.split(entry, ",")
-        first = F.element_at(parts, 1)
-        return F.struct(strip(F.when(first.contains("."), first).otherwise(F.concat_ws(",", F.slice(parts, 1, 2)))).alias("name"), entry.alias("text"))
+        n = F.when(F.element_at(parts, 1).contains("."), 1).otherwise(2)
+        return F.struct(strip(F.array_join(F.slice(parts, 1, n), ",")).alias("name"), F.array_join(F.slice(parts, n + 1, F.size(parts)), ",").alias("rest"))
 
-    return F.transform(F.split(cell, "; "), read)
+    return F.transform(texts, read)
 
 
 def _numbered(entries: Column) -> Column:
-    """Entries with the number of their author; neighbours of one name share it."""
-    start = F.struct(F.lit(-1).alias("i"), F.lit(None).cast("string").alias("last"), F.lit(None).cast("array<struct<i:int,name:string,text:string>>").alias("out"))
+    """(i, rest): entries with the number of their author; neighbours of one name share it."""
+    new = F.transform(entries, lambda e, k: F.when((k > 0) & (e["name"] == F.get(entries, k - 1)["name"]), 0).otherwise(1))
+    number = lambda k: F.aggregate(F.slice(new, 1, k + 1), F.lit(-1), lambda x, y: x + y)
+    return F.transform(entries, lambda e, k: F.struct(number(k).alias("i"), e["rest"].alias("rest")))
 
-    def step(state: Column, e: Column) -> Column:
-        i = F.when(state["last"].eqNullSafe(e["name"]), state["i"]).otherwise(state["i"] + 1)
-        new = F.array(F.struct(i.alias("i"), e["name"].alias("name"), e["text"].alias("text")))
-        return F.struct(i.alias("i"), e["name"].alias("last"), F.when(state["out"].isNull(), new).otherwise(F.concat(state["out"], new)).alias("out"))
 
-    return F.aggregate(entries, start, step, lambda s: s["out"])
+def _cells_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> DataFrame:
+    """(pub_id, _raw, _bare, _authors): listed affiliations, their standard form without unknown countries, authors' entries; NULL means unknown."""
+    known = rows.select(pub_id, *[F.coalesce(F.nullif(c, F.lit("")), F.lit(UNKNOWN)).alias(n) for c, n in ((affiliations, "_f"), (authors, "_t"))])
+    parts = known.select(pub_id, F.split("_f", ";").alias("_raw"), standard_addresses(F.split("_t", ";"), False).alias("_texts"))
+    held = parts.select(pub_id, "_raw", standard_addresses(F.col("_raw"), False).alias("_bare"), _entries(F.col("_texts")).alias("_e"))
+    return held.select(pub_id, "_raw", "_bare", _numbered(F.col("_e")).alias("_authors"))
+
+
+def _own(rest: Column, bare: Column) -> Column:
+    """Whether an author's text holds a listed affiliation; a blank one belongs to nobody."""
+    return rest.contains(bare) & (F.trim(bare) != "")
 
 
 def addresses_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> dict[str, DataFrame]:
     """addresses, countries, institutions of the first source; an author without a listed affiliation gets an unknown address."""
-    listed = F.split(affiliations, ";")
-    standard = F.transform(listed, lambda x: strip(standard_string(x)))
-    lost = F.filter(_numbered(author_chunks(F.col(authors))), lambda e: ~F.exists(F.col("_standard"), lambda s: standard_string(e["text"]).contains(s) & (s != "")))
-    cells = rows.withColumn("_standard", standard).select(pub_id, F.concat(listed, F.transform(lost, lambda e: unknown_address(e["i"]))).alias("_all"))
-    return _address_tables(cells.select(pub_id, F.posexplode("_all").alias("idx_address", "address")), pub_id)
+    cells = _cells_a(rows, pub_id, affiliations, authors)
+    lost = F.filter("_authors", lambda e: ~F.exists("_bare", lambda s: _own(e["rest"], s)))
+    every = F.concat("_raw", F.transform(lost, lambda e: unknown_address(e["i"])))
+    return _address_tables(cells.select(pub_id, F.posexplode(every).alias("idx_address", "address")), pub_id)
+
+
+def _bracketed(c: Column) -> Column:
+    """(authors, address) of each bracket of a cell."""
+    groups = F.arrays_zip(F.regexp_extract_all(c, F.lit(BRACKETS), F.lit(1)).alias("authors"), F.regexp_extract_all(c, F.lit(BRACKETS), F.lit(2)).alias("address"))
+    return F.transform(groups, lambda g: F.struct(F.transform(F.split(g["authors"], ";"), strip).alias("authors"), strip(g["address"]).alias("address")))
 
 
 def addresses_b(rows: DataFrame, pub_id: str, cell: str, full_names: str) -> dict[str, DataFrame]:
-    """addresses, countries, institutions of the second source, with or without bracketed authors."""
-    c = F.col(cell)
-    bracketed = F.flatten(F.transform(F.regexp_extract_all(c, F.lit(IN_BRACKETS), F.lit(0)), lambda x: F.transform(F.split(x, ";"), strip)))
-    names = F.transform(F.split(full_names, ";"), strip)
-    missing = F.filter(F.transform(names, lambda x, i: F.struct(x.alias("n"), i.alias("i"))), lambda e: ~F.array_contains(bracketed, e["n"]))
-    with_brackets = F.concat(F.regexp_extract_all(c, F.lit(AFTER_BRACKET), F.lit(0)), F.transform(missing, lambda e: unknown_address(e["i"])))
-    parts = F.when(c.contains("["), with_brackets).otherwise(F.split(c, ";"))
-    listed = rows.filter(c.isNotNull()).select(pub_id, F.posexplode(parts).alias("idx_address", "raw"))
-    listed = listed.select(pub_id, "idx_address", standard_address(strip(F.col("raw")), add_unknown_country=False).alias("address"))
-    return _address_tables(listed, pub_id)
+    """addresses, countries, institutions of the second source, with or without bracketed authors; NULL means unknown."""
+    known = rows.select(pub_id, F.coalesce(F.nullif(cell, F.lit("")), F.lit(UNKNOWN)).alias("_c"), F.coalesce(full_names, F.lit(UNKNOWN)).alias("_n"))
+    read = known.select(pub_id, "_c", _bracketed(F.col("_c")).alias("_b"), F.transform(F.split("_n", ";"), strip).alias("_n"))
+    named = F.flatten(F.transform("_b", lambda g: g["authors"]))
+    missing = F.filter(F.transform("_n", lambda x, i: F.struct(x.alias("n"), i.alias("i"))), lambda e: ~F.array_contains(named, e["n"]))
+    with_brackets = F.concat(F.transform("_b", lambda g: g["address"]), F.transform(missing, lambda e: unknown_address(e["i"])))
+    parts = F.when(F.col("_c").contains("["), with_brackets).otherwise(F.transform(F.split("_c", ";"), strip))
+    return _address_tables(read.select(pub_id, F.posexplode(standard_addresses(parts, False)).alias("idx_address", "address")), pub_id)
 
 
-def author_institutions_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> DataFrame:
+def author_addresses_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> DataFrame:
     """(pub_id, idx_author, address, country): the affiliations that each author's text holds, standardised."""
-    parts = F.transform(F.split(affiliations, ";"), lambda x: standard_address(strip(x)))
-    each = rows.select(pub_id, parts.alias("_parts"), F.explode(_numbered(author_chunks(F.col(authors)))).alias("_a"))
-    text = standard_address(F.col("_a.text"))
-    own = F.filter("_parts", lambda p: text.contains(p))
-    held = F.when(F.size(own) > 0, own).otherwise(F.array(unknown_address(F.col("_a.i"), True)))
-    rows_out = each.select(pub_id, F.col("_a.i").alias("idx_author"), F.explode(held).alias("address"))
-    return rows_out.withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
+    cells = _cells_a(rows, pub_id, affiliations, authors).withColumn("_full", standard_addresses(F.col("_raw")))
+    listed = F.arrays_zip("_bare", "_full")
+    each = cells.select(pub_id, listed.alias("_l"), F.explode("_authors").alias("_a"))
+    own = F.transform(F.filter("_l", lambda x: _own(F.col("_a.rest"), x["_bare"])), lambda x: x["_full"])
+    held = each.select(pub_id, F.col("_a.i").alias("idx_author"), own.alias("_own"))
+    out = held.select(pub_id, "idx_author", F.explode(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.array(unknown_address(F.col("idx_author"), True)))).alias("address"))
+    return out.withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
+
+
+def author_addresses_b(rows: DataFrame, pub_id: str, cell: str, full_names: str) -> DataFrame:
+    """(pub_id, idx_author, address, country) of the bracketed authors, and unknown addresses of the others; without brackets one unknown row."""
+    known = rows.select(pub_id, F.coalesce(F.nullif(cell, F.lit("")), F.lit(UNKNOWN)).alias("_c"), F.coalesce(full_names, F.lit(UNKNOWN)).alias("_n"))
+    read = known.select(pub_id, "_c", _bracketed(F.col("_c")).alias("_b"), F.transform(F.split("_n", ";"), strip).alias("_n"))
+    given = read.filter(F.col("_c").contains("[")).select(pub_id, "_n", "_b", standard_addresses(F.transform("_b", lambda g: g["address"])).alias("_s"))
+    pairs = F.flatten(F.transform("_b", lambda g, k: F.transform(g["authors"], lambda a: F.struct((F.array_position("_n", a) - 1).cast("int").alias("idx_author"), F.get("_s", k).alias("address")))))
+    placed = given.select(pub_id, "_n", F.filter(pairs, lambda e: e["idx_author"] >= 0).alias("_p"))
+    lost = F.filter(F.transform("_n", lambda n, i: i), lambda i: ~F.exists("_p", lambda e: e["idx_author"] == i))
+    every = F.concat("_p", F.transform(lost, lambda i: F.struct(i.cast("int").alias("idx_author"), unknown_address(i, True).alias("address"))))
+    listed = placed.select(pub_id, F.inline(every)).withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
+    none = read.filter(~F.col("_c").contains("[")).select(pub_id, F.lit(0).alias("idx_author"), F.lit(UNKNOWN).alias("address"), F.lit(UNKNOWN).alias("country"))
+    return listed.unionByName(none)
 
 
-def author_institutions_b(rows: DataFrame, pub_id: str, cell: str, full_names: str) -> DataFrame:
-    """(pub_id, idx_author, address, country) of the bracketed authors, and unknown addresses of the others."""
-    c = F.col(cell)
-    groups = F.arrays_zip(
-        F.regexp_extract_all(c, F.lit(IN_BRACKETS), F.lit(0)).alias("authors"), F.regexp_extract_all(c, F.lit(AFTER_BRACKET), F.lit(0)).alias("address")
-    )
-    names = F.transform(F.split(full_names, ";"), strip)
-    zipped = F.filter(groups, lambda g: g["authors"].isNotNull() & g["address"].isNotNull())
-    flat = F.flatten(F.transform(zipped, lambda g: F.transform(F.split(g["authors"], ";"), lambda a: F.struct((F.array_position(names, strip(a)) - 1).cast("int").alias("idx_author"), g["address"].alias("address")))))
-    known = F.filter(flat, lambda e: e["idx_author"] >= 0)
-    lost = F.filter(F.transform(names, lambda n, i: i), lambda i: ~F.exists(known, lambda e: e["idx_author"] == i))
-    all_rows = F.concat(known, F.transform(lost, lambda i: F.struct(i.alias("idx_author"), F.lit(None).cast("string").alias("address"))))
-    with_brackets = rows.filter(c.contains("[")).select(pub_id, F.inline(all_rows))
-    standard = standard_address(strip(F.col("address")))
-    listed = with_brackets.select(pub_id, "idx_author", F.coalesce(standard, unknown_address(F.col("idx_author"), True)).alias("address"))
-    listed = listed.withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
-    none = rows.filter(~F.coalesce(c.contains("["), F.lit(False))).select(pub_id, F.lit(0).alias("idx_author"), F.lit(UNKNOWN).alias("address"), F.lit(UNKNOWN).alias("country"))
-    return listed.unionByName(none)
+# The patterns of the fields of citations below are fixed forms.
 
 
 def references_a(rows: DataFrame, pub_id: str, cell: str) -> DataFrame:
@@ -145,8 +153,7 @@ def references_a(rows: DataFrame, pub_id: str, cell: str) -> DataFrame:
     pick = lambda pattern, group=0: F.nullif(F.regexp_extract(r, f"(?U){pattern}", group), F.lit(""))
     recent = r.rlike(r"(?U)\(\d{4}\)(\s)?$")
     year = pick(r"(?<=\()\d{4}(?=\))")
-    bare = lambda c: replace_chars(c, {".": "", ",": "", ";": ""})
-    author = F.when(recent, bare(pick(r"^[^,0-9:]*,"))).otherwise(bare(pick(r"^[^,0-9:]*,[^,0-9:]*,")))
+    author = F.when(recent, pick(r"^[^,0-9:]*,")).otherwise(pick(r"^[^,0-9:]*,[^,0-9:]*,"))
     new_journal = pick(r"(?<=,\s)[^,]*,\s+\d+,")
     journal_new, volume_new = F.element_at(F.split(new_journal, ","), 1), F.element_at(F.split(new_journal, ","), 2)
     proceedings, titled = pick("[Pp]roceedings.*"), pick(r"\(\d{4}\)\s+[^,]*,|\(\d{4}\)\s+[^,]*$")
@@ -156,7 +163,8 @@ def references_a(rows: DataFrame, pub_id: str, cell: str) -> DataFrame:
     volume = F.when(recent, volume_new).otherwise(volume_old)
     page_new, page_old = pick(r"\s+[p]{1,2}\.\s+[a-zA-Z0-9]{1,9}-[a-zA-Z0-9]{1,9}"), pick(r"\s+[p]{1,2}\.\s+[a-zA-Z0-9]{1,9}")
     page = F.element_at(F.split(F.when(recent, page_new).otherwise(page_old), r"p\."), 2)
-    read = each.select(pub_id, author.alias("author"), year.alias("year"), journal.alias("journal"), volume.alias("volume"), page.alias("page"))
+    fields = {"author": normalize_name(author), "year": year, "journal": strip(journal), "volume": strip(volume), "page": strip(page)}
+    read = each.select(pub_id, *[c.alias(n) for n, c in fields.items()])
     whole = F.col("author").isNotNull() & F.col("journal").isNotNull()
     return read.select(
         pub_id, F.when(whole, F.col("author")).otherwise(PARTIAL).alias("author"), F.coalesce("year", F.lit("0")).alias("year"),
@@ -168,12 +176,12 @@ def references_b(rows: DataFrame, pub_id: str, cell: str) -> DataFrame:
     """(pub_id, author, year, journal, volume, page) of the second source's citations that name an author and a journal."""
     each = rows.select(pub_id, F.explode(F.split(cell, ";")).alias("r")).filter("trim(r) != ''").withColumn("r", F.ltrim("r"))
     pick = lambda pattern: F.nullif(F.regexp_extract("r", f"(?U){pattern}", 0), F.lit(""))
-    year = F.substring(pick(r",\s\d{4},"), 2, 5)
+    year = strip(F.substring(pick(r",\s\d{4},"), 2, 5))
     journal = strip(pick(r"(?<=,)\s[A-Z]{2}[0-9A-Z&\s\-\.\[\]]+(?=,)|(?<=,)\s[A-Z]{2}[0-9A-Z&\s\-\.\[\]]+$"))
     digits = lambda pattern: F.nullif(F.regexp_extract(F.coalesce(pick(pattern), F.lit("")), r"\d+", 0), F.lit(""))
-    author = replace_chars(pick("^[^,0-9:]*,"), {".": "", ",": "", ";": ""})
-    read = each.select(pub_id, author.alias("author"), year.alias("year"), journal.alias("journal"), digits(r",\s+V\d{1,6}").alias("volume"), digits(r",\s+P\d{1,6}").alias("page"))
+    author = F.regexp_replace(pick("^[^,0-9:]*,"), ",$", "")
+    read = each.select(pub_id, normalize_name(author).alias("author"), year.alias("year"), journal.alias("journal"), digits(r",\s+V\d{1,6}").alias("volume"), digits(r",\s+P\d{1,6}").alias("page"))
     return read.filter("author is not null and journal is not null").na.fill("0", ["year", "volume", "page"])
 
 
-__all__ = ["EMPTY", "NO_COUNTRY", "addresses_a", "addresses_b", "author_institutions_a", "author_institutions_b", "authors_a", "authors_b", "keywords", "parted", "references_a", "references_b"]
+__all__ = ["EMPTY", "NO_COUNTRY", "addresses_a", "addresses_b", "author_addresses_a", "author_addresses_b", "authors_a", "authors_b", "keywords", "parted", "references_a", "references_b"]

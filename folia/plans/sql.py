@@ -69,8 +69,9 @@ def known(column: str, order: str, longest: bool = False) -> str:
 
 
 KEYWORDS = "SELECT pub_id, keyword FROM (SELECT pub_id, CASE WHEN w = 'null' THEN 'unknown' ELSE w END AS keyword FROM (SELECT pub_id, {strip} AS w FROM (SELECT pub_id, unnest(string_split(coalesce({c}, 'unknown'), ';')) AS r FROM scopus_rawdata))) WHERE keyword <> ''"
-TITLE_WORDS = f"""SELECT pub_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+(?:-[a-z0-9]+)*'))) AS keyword FROM articles WHERE title IS NOT NULL"""
-TITLE_WORDS = f"SELECT * FROM ({TITLE_WORDS}) WHERE length(keyword) > 2 AND keyword NOT IN {listed(STOP_WORDS)} AND NOT regexp_matches(keyword, '^[0-9-]+$')"
+TITLE_WORDS = """SELECT pub_id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+(?:[-.][a-z0-9]+)*')) AS w FROM articles WHERE title IS NOT NULL"""
+TITLE_WORDS = f"""SELECT pub_id, CASE WHEN regexp_matches(w, '(?:ss|us|is|[0-9.-])s?$') THEN w WHEN regexp_matches(w, '[a-z]{{2}}ies$') THEN left(w, -3) || 'y' WHEN regexp_matches(w, '[a-z]{{3}}s$') THEN left(w, -1) ELSE w END AS keyword
+  FROM ({TITLE_WORDS}) WHERE length(w) > 2 AND w NOT IN {listed(STOP_WORDS)} AND NOT regexp_matches(w, '^[0-9.-]+$')"""
 FILLED = "SELECT pub_id, idx_author, coalesce(nullif(address, ''), 'empty') AS address, coalesce(nullif(country, ''), 'empty') AS country, coalesce(nullif(norm_institutions, ''), 'empty') AS n, coalesce(nullif(raw_institutions, ''), 'empty') AS r FROM address_inst"
 _COLUMNS = ["authors", "journal", "volume", "page", "doi", "document_type", "language", "title", "issn", "norm_journal"]
 PREPARED = (
@@ -89,7 +90,7 @@ _P7 = "doi, title_lc, same_journal, pub_id"
 _P8 = "authors, type_lc, issn, page, doi_0, title_0, same_journal, pub_id"
 CASCADE = f"""
 WITH s0 AS ({PREPARED}), s3 AS ({overwrite('s0', 'same_journal', 'issn', 'pub_id')}), s5 AS ({overwrite('s3', 'title_lc', 'doi', 'same_journal, pub_id')}),
-s6 AS ({overwrite('s5', 'doi', 'document_type', 'title_lc, same_journal, pub_id')}),
+k5 AS (SELECT * FROM s5 WHERE doi <> 'unknown'), s6 AS ({overwrite('k5', 'doi', 'document_type', 'title_lc, same_journal, pub_id')} UNION ALL BY NAME SELECT * FROM s5 WHERE doi = 'unknown'),
 g7 AS (SELECT authors, type_lc, issn, page, bool_or(doi = 'unknown') AND max(title_lc) <> min(title_lc) AS hit, {known('doi', _P7)} AS d, {known('title_lc', _P7)} AS t FROM s6 GROUP BY 1, 2, 3, 4),
 s7 AS (SELECT s6.* EXCLUDE (doi, title_lc), s6.doi AS doi_0, s6.title_lc AS title_0, CASE WHEN hit THEN d ELSE doi END AS doi, CASE WHEN hit THEN t ELSE title_lc END AS title_lc,
   lower(CASE WHEN hit THEN d ELSE doi END) AS doi_lc FROM s6 JOIN g7 USING (authors, type_lc, issn, page)),
@@ -117,20 +118,106 @@ def _fix() -> str:
     commas = lambda x: f"list_transform({x}, lambda y: replace(replace(y, ';, ', ', '), ';', ', '))"
     stray = lambda x: f"len(list_filter({x}, lambda y: regexp_matches(y, '[\\pL\\pN_]+;,\\s[\\pL\\pN_]+|[\\pL\\pN_]+;[\\pL\\pN_]+'))) > 0"
     return f"""WITH l AS (SELECT *, {n} AS n, {p} AS p, {e} AS e, len({n}) <> len(string_split(authors_with_affiliations, ';')) AS d, len(list_filter({n}, lambda y: contains(y, ';'))) > 0 AS s
-      FROM scopus_rawdata WHERE authors IS NOT NULL AND affiliations IS NOT NULL AND authors_with_affiliations IS NOT NULL), m AS (SELECT *, CASE WHEN s THEN {bare('e')} ELSE e END AS f FROM l)
+      FROM (SELECT eid, loaded_at, coalesce(authors, 'unknown') AS authors, coalesce(affiliations, 'unknown') AS affiliations, coalesce(authors_with_affiliations, 'unknown') AS authors_with_affiliations FROM scopus_rawdata)), m AS (SELECT *, CASE WHEN s THEN {bare('e')} ELSE e END AS f FROM l)
       SELECT eid, loaded_at, CASE WHEN d AND s THEN array_to_string({bare('n')}, '; ') ELSE authors END AS authors, CASE WHEN d AND {stray('p')} THEN array_to_string({commas('p')}, '; ') ELSE affiliations END AS affiliations,
       CASE WHEN d THEN array_to_string(CASE WHEN {stray('f')} THEN {commas('f')} ELSE f END, '; ') ELSE authors_with_affiliations END AS authors_with_affiliations,
       CAST(d AND s AS INT) AS authors_status, CAST(d AND {stray('p')} AS INT) AS affiliations_status, CAST(d AND {stray('f')} AS INT) AS both_status FROM m"""
 
 
-def _standard_address() -> str:
-    text = standard("address")
+def address_words(c: str) -> str:
+    text = standard(c)
     for word, pattern in N.ADDRESS_WORDS.items():
         text = f"regexp_replace({text}, {q(pattern)}, {q(word + ' ')}, 'g')"
-    text = f"regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), '\\s,', ',', 'g')"
-    last = "string_split(string_split(t, ',')[-1], ' - ')[-1]"
-    return f"""SELECT pub_id, idx_address, CASE WHEN c = 'Unknown' THEN t || ', ' || c WHEN len(string_split(t, ',')) > 1 THEN array_to_string(string_split(t, ',')[:-2], ',') || ', ' || c ELSE ' ' || c END AS address
-      FROM (SELECT *, {country(f"trim({last})")} AS c FROM (SELECT pub_id, idx_address, {text} AS t FROM address WHERE address IS NOT NULL))"""
+    return f"regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), '\\s,', ',', 'g')"
+
+
+def standard_list(values: str, unknown: bool) -> str:
+    """Standard addresses of a list of texts."""
+    words = f"list_transform({values}, lambda x: {address_words('x')})"
+    last = country("trim(string_split(string_split(t, ',')[-1], ' - ')[-1])")
+    none = "t || ', Unknown'" if unknown else "t"
+    pairs = f"list_transform({words}, lambda t: {{'t': t, 'c': {last}}})"
+    done = lambda x: none.replace("t", x + ".t", 1)
+    return f"list_transform({pairs}, lambda p: CASE WHEN p.c = 'Unknown' THEN {done('p')} WHEN len(string_split(p.t, ',')) > 1 THEN array_to_string(string_split(p.t, ',')[:-2], ',') || ', ' || p.c ELSE ' ' || p.c END)"
+
+
+def _standard_address() -> str:
+    return f"SELECT pub_id, idx_address, {standard_list('[address]', True)}[1] AS address FROM address WHERE address IS NOT NULL"
+
+
+def name(c: str) -> str:
+    """A person's name in one writing, as tidy_name makes it without options; c is NULL or a text."""
+    tables = lambda x: translated(translated(translated(x, N.DASHES), N.LANGUAGE_LETTERS), N.PUNCTUATION)
+    capital = lambda w: f"upper(left({w}, 1)) || lower(substr({w}, 2))"
+    words = f"CASE WHEN contains({c}, '.') THEN {c} ELSE array_to_string(list_transform(string_split({c}, ' '), lambda w: {capital('w')}), ' ') END"
+    bare = strip(ascii_sql(tables(words)))
+    runs = f"regexp_extract_all({bare}, '[a-zA-Z]+|[^a-zA-Z]+')"
+    beside = "(regexp_matches(left(coalesce(r[i + 1], '.'), 1), '[-''\\s]') OR regexp_matches(right(CASE WHEN i > 1 THEN r[i - 1] ELSE '.' END, 1), '[-'']'))"
+    cased = f"list_transform([{{'r': {runs}}}], lambda s: array_to_string(list_transform(s.r, lambda x, i: CASE WHEN regexp_matches(x, '^[a-zA-Z]') AND {beside.replace('r[', 's.r[')} THEN {capital('x')} ELSE x END), ''))[1]"
+    ended = f"list_transform([{{'t': {cased}}}], lambda s: left(s.t, length(s.t) - length(regexp_extract(s.t, '\\s[a-zA-Z]+-[a-zA-Z]+$'))) || upper(regexp_extract(s.t, '\\s[a-zA-Z]+-[a-zA-Z]+$')))[1]"
+    return f"list_transform([{ended}], lambda t: CASE WHEN regexp_matches(t, '^Mc[a-zA-Z]') THEN 'Mc' || upper(substr(t, 3, 1)) || substr(t, 4) ELSE t END)[1]"
+
+
+def upper_last(c: str) -> str:
+    return f"list_transform([string_split({c}, ' ')], lambda l: array_to_string(list_concat(l[:-2], [upper(l[-1])]), ' '))[1]"
+
+
+_CELLS_A = f"""cells AS (SELECT pub_id, string_split(coalesce(nullif(affiliations, ''), 'unknown'), ';') AS f, string_split(coalesce(nullif(authors_with_affiliations, ''), 'unknown'), ';') AS t FROM scopus_rawdata),
+ std AS (SELECT pub_id, f, {standard_list('f', False)} AS b, {standard_list('f', True)} AS u, {standard_list('t', False)} AS t FROM cells),
+ named AS (SELECT *, list_transform(t, lambda x: CASE WHEN contains(string_split(x, ',')[1], '.') THEN 1 ELSE 2 END) AS k FROM std),
+ parted AS (SELECT pub_id, f, b, u, list_transform(t, lambda x, i: {{'n': {strip("array_to_string(string_split(x, ',')[:k[i]], ',')")}, 'r': array_to_string(string_split(x, ',')[k[i] + 1:], ',')}}) AS e FROM named),
+ numbered AS (SELECT pub_id, f, b, u, list_transform(e, lambda x, i: {{'i': len(list_filter(e[:i], lambda y, j: j = 1 OR y.n <> e[j - 1].n)) - 1, 'r': x.r}}) AS a FROM parted)"""
+_HAS = "contains(x.r, y) AND trim(y) <> ''"
+_ALL_A = f"""WITH {_CELLS_A}, every AS (SELECT pub_id, list_concat(f, list_transform(list_filter(a, lambda x: len(list_filter(b, lambda y: {_HAS})) = 0), lambda x: x.i || '_unknown')) AS l FROM numbered),
+ rows AS (SELECT pub_id, CAST(i - 1 AS INT) AS idx_address, l[i] AS address FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM every))"""
+_CHUNKS = f"list_transform(string_split(address, ','), lambda x: {strip('x')})"
+_BRACKETED = f"""raw AS (SELECT pub_id, author_full_names AS n, CASE WHEN pub_id % 3 = 0 THEN affiliations ELSE array_to_string(list_transform(string_split(affiliations, ';'), lambda p, i: '[' || string_split(author_full_names, '; ')[i] || '] ' || trim(p)), '; ') END AS c FROM scopus_rawdata),
+ known AS (SELECT pub_id, coalesce(nullif(c, ''), 'unknown') AS c, list_transform(string_split(coalesce(n, 'unknown'), ';'), lambda x: {strip('x')}) AS n FROM raw),
+ groups AS (SELECT pub_id, c, n, list_transform(regexp_extract_all(c, '\\[([^\\]]*)\\]\\s*([^;\\[]*)', 1), lambda x: list_transform(string_split(x, ';'), lambda y: {strip('y')})) AS ga, list_transform(regexp_extract_all(c, '\\[([^\\]]*)\\]\\s*([^;\\[]*)', 2), lambda x: {strip('x')}) AS gd FROM known)"""
+_ADDRESSES_B = f"""WITH {_BRACKETED}, every AS (SELECT pub_id, CASE WHEN contains(c, '[') THEN list_concat(gd, list_filter(list_transform(n, lambda x, i: CASE WHEN list_contains(flatten(ga), x) THEN NULL ELSE (i - 1) || '_unknown' END), lambda x: x IS NOT NULL))
+  ELSE list_transform(string_split(c, ';'), lambda x: {strip('x')}) END AS parts FROM groups), std AS (SELECT pub_id, {standard_list('parts', False)} AS l FROM every)
+ SELECT pub_id, CAST(i - 1 AS INT) AS idx_address, l[i] AS address FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM std)"""
+_AUTHORS_B = f"""WITH {_BRACKETED}, std AS (SELECT pub_id, n, ga, {standard_list('gd', True)} AS s FROM groups WHERE contains(c, '[')),
+ pairs AS (SELECT pub_id, n, list_filter(flatten(list_transform(ga, lambda g, k: list_transform(g, lambda a: {{'i': coalesce(list_position(n, a), 0) - 1, 'a': s[k]}}))), lambda e: e.i >= 0) AS p FROM std),
+ every AS (SELECT pub_id, list_concat(list_transform(p, lambda e: {{'i': CAST(e.i AS INT), 'a': e.a}}), list_filter(list_transform(n, lambda x, j: CASE WHEN len(list_filter(p, lambda e: e.i = j - 1)) > 0 THEN NULL ELSE {{'i': CAST(j - 1 AS INT), 'a': (j - 1) || '_unknown, Unknown'}} END), lambda x: x IS NOT NULL)) AS l FROM pairs),
+ listed AS (SELECT pub_id, e.i AS idx_author, e.a AS address FROM (SELECT pub_id, unnest(l) AS e FROM every))
+ SELECT pub_id, idx_author, address, {country(f"{_CHUNKS}[-1]")} AS country FROM listed UNION ALL SELECT pub_id, 0, 'unknown', 'unknown' FROM groups WHERE NOT contains(c, '[')"""
+_HELD = "len(list_filter(b, lambda y: contains(x.r, y) AND trim(y) <> ''))"
+_AUTHORS_A = f"""WITH {_CELLS_A}, each AS (SELECT pub_id, b, u, unnest(a) AS x FROM numbered),
+ own AS (SELECT pub_id, x.i AS i, list_filter(list_transform(u, lambda z, j: CASE WHEN contains(x.r, b[j]) AND trim(b[j]) <> '' THEN z END), lambda z: z IS NOT NULL) AS o FROM each),
+ listed AS (SELECT pub_id, CAST(i AS INT) AS idx_author, unnest(CASE WHEN len(o) > 0 THEN o ELSE [i || '_unknown, Unknown'] END) AS address FROM own)
+ SELECT pub_id, idx_author, address, {country(f"{_CHUNKS}[-1]")} AS country FROM listed"""
+
+
+def _references(column: str) -> str:
+    """Citations of the first source."""
+    pick = lambda p, g=0: f"nullif(regexp_extract(r, {q(p)}, {g}), '')"
+    new = pick(r",\s([^,]*,\s+\d+,)", 1)
+    titled = pick(r"(\(\d{4}\)\s+[^,]*,|\(\d{4}\)\s+[^,]*$)", 1)
+    vol = pick(r"(,\s+\d{1,6},|,\s+\d{1,6}\s\(|,\s+\d{1,6}$)", 1)
+    page = lambda p: f"string_split({pick(p)}, 'p.')[2]"
+    word = r"\s+[p]{1,2}\.\s+[a-zA-Z0-9]{1,9}"
+    return f"""WITH cut AS (SELECT pub_id, ltrim(unnest(string_split(coalesce({column}, 'unknown'), ';'))) AS r FROM scopus_rawdata), listed AS (SELECT *, regexp_matches(r, '\\(\\d{{4}}\\)(\\s)?$') AS recent FROM cut WHERE trim(r) <> ''),
+ read AS (SELECT pub_id, CASE WHEN recent THEN {pick('^[^,0-9:]*,')} ELSE {pick('^[^,0-9:]*,[^,0-9:]*,')} END AS a, {pick(r"\((\d{4})\)", 1)} AS y,
+  CASE WHEN recent THEN string_split({new}, ',')[1] ELSE coalesce({pick('[Pp]roceedings.*')}, regexp_replace(substr({titled}, 7), ',$', '')) END AS j,
+  CASE WHEN recent THEN string_split({new}, ',')[2] ELSE nullif(regexp_extract(coalesce({vol}, ''), '\\d{{1,6}}'), '') END AS v, CASE WHEN recent THEN {page(word + '-[a-zA-Z0-9]{1,9}')} ELSE {page(word)} END AS p FROM listed)
+ SELECT pub_id, CASE WHEN a IS NULL OR j IS NULL THEN 'partial' ELSE {name('a')} END AS author, coalesce(y, '0') AS year, coalesce({strip('j')}, 'unknown') AS journal, coalesce({strip('v')}, '0') AS volume, coalesce({strip('p')}, '0') AS page FROM read"""
+
+
+def _references_tagged() -> str:
+    """Citations of the second source, made from the articles."""
+    cite = "concat_ws(', ', regexp_replace(authors, ',', '', 'g'), CAST(year AS VARCHAR), upper(regexp_replace(journal, '[^A-Za-z ]', '', 'g')), 'V' || volume, 'P' || page)"
+    pick = lambda p, g=0: f"nullif(regexp_extract(r, {q(p)}, {g}), '')"
+    digits = lambda p: f"nullif(regexp_extract(coalesce({pick(p)}, ''), '\\d+'), '')"
+    journal_ = r"[A-Z]{2}[0-9A-Z&\s\-.\[\]]+"
+    return f"""WITH cut AS (SELECT pub_id, ltrim(unnest(string_split({cite}, ';'))) AS r FROM articles), listed AS (SELECT * FROM cut WHERE trim(r) <> ''),
+ read AS (SELECT pub_id, regexp_replace({pick('^[^,0-9:]*,')}, ',$', '') AS a, {pick(r",\s(\d{4}),", 1)} AS y, {strip(pick(",\\s(" + journal_ + ")(?:,|$)", 1))} AS j, {digits(r",\s+V\d{1,6}")} AS v, {digits(r",\s+P\d{1,6}")} AS p FROM listed)
+ SELECT pub_id, {name('a')} AS author, coalesce(y, '0') AS year, j AS journal, coalesce(v, '0') AS volume, coalesce(p, '0') AS page FROM read WHERE a IS NOT NULL AND j IS NOT NULL"""
+
+
+def _success(distinct: bool) -> str:
+    bad = "count(DISTINCT CASE WHEN coalesce(author_keywords, '') = '' THEN pub_id END)" if distinct else "count(CASE WHEN coalesce(author_keywords, '') = '' THEN pub_id END)"
+    return f"SELECT 'keyword' AS item, round(100 * (1 - {bad} / count(DISTINCT pub_id)), 4) AS success_pct FROM scopus_rawdata"
 
 
 _FIX, _STANDARD = _fix(), _standard_address()
@@ -140,19 +227,33 @@ _SPLIT = f"""SELECT address, array_to_string(list_transform(flatten(list_transfo
 SQL = {
     "exp_authors": f"""SELECT pub_id, CAST(i - 1 AS INT) AS idx_author, l[i] AS co_author FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM (
       SELECT pub_id, list_filter(list_transform(string_split(authors, CASE WHEN contains(authors, ';') THEN ';' ELSE ',' END), lambda x: replace(x, '.', '')), lambda x: x NOT IN {listed(SKIPPED_AUTHORS)}) AS l
-      FROM scopus_rawdata WHERE authors IS NOT NULL))""",
+      FROM (SELECT pub_id, coalesce(authors, 'unknown') AS authors FROM scopus_rawdata)))""",
+    "exp_authors_named": f"""SELECT pub_id, CAST(i - 1 AS INT) AS idx_author, {upper_last('n')} AS co_author FROM (SELECT pub_id, i, {name('l[i]')} AS n FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM (
+      SELECT pub_id, list_filter(string_split(coalesce(authors, 'unknown'), ';'), lambda x: x NOT IN {listed(SKIPPED_AUTHORS)}) AS l FROM scopus_rawdata)))""",
+    "norm_name": f"SELECT pub_id, {name('authors')} AS author FROM articles WHERE authors IS NOT NULL",
+    "first_author": f"SELECT eid, {upper_last('n')} AS author FROM (SELECT eid, {name('a')} AS n FROM (SELECT eid, string_split(authors, CASE WHEN contains(authors, ';') THEN ';' ELSE ',' END)[1] AS a FROM scopus_rawdata WHERE authors IS NOT NULL))",
+    "exp_addresses": f"{_ALL_A} SELECT * FROM rows",
+    "exp_address_countries": f"{_ALL_A} SELECT pub_id, idx_address, {country(f'{_CHUNKS}[-1]')} AS country FROM rows",
+    "exp_address_institutions": f"{_ALL_A} SELECT pub_id, idx_address, coalesce(list_filter({_CHUNKS}, lambda x: x <> '')[1], '') AS institution FROM rows",
+    "exp_author_addresses": _AUTHORS_A,
+    "exp_addresses_bracketed": _ADDRESSES_B,
+    "exp_author_addresses_bracketed": _AUTHORS_B,
+    "exp_references": _references("cited_refs"),
+    "exp_references_tagged": _references_tagged(),
     "exp_author_keywords": KEYWORDS.format(c="author_keywords", strip=strip("lower(r)")),
     "exp_index_keywords": KEYWORDS.format(c="index_keywords", strip=strip("lower(r)")),
     "exp_parted": f"SELECT * FROM (SELECT pub_id, {strip('r')} AS subject FROM (SELECT pub_id, unnest(string_split(index_keywords, ';')) AS r FROM scopus_rawdata WHERE index_keywords IS NOT NULL)) WHERE subject <> ''",
-    "sort_items": "SELECT * FROM address ORDER BY pub_id, idx_address, address",
+    "sort_items": "SELECT * FROM address ORDER BY pub_id, idx_address",
+    "sort_authors": "SELECT * FROM address_inst ORDER BY pub_id, idx_author",
     "sort_frequency": f"SELECT keyword, count(*) AS n FROM ({TITLE_WORDS}) GROUP BY 1 ORDER BY 2 DESC, 1",
-    "top_first_author": "SELECT eid, string_split(authors, ';')[1] AS author FROM scopus_rawdata WHERE authors IS NOT NULL",
+    "top_first_author": f"SELECT eid, l[1] AS author FROM (SELECT eid, list_filter(list_transform(string_split(a, CASE WHEN contains(a, ';') THEN ';' ELSE ',' END), lambda x: replace(x, '.', '')), lambda x: x NOT IN {listed(SKIPPED_AUTHORS)}) AS l FROM (SELECT eid, coalesce(authors, 'unknown') AS a FROM scopus_rawdata)) WHERE len(l) > 0",
     "flt_valid_affiliations": "SELECT eid, coalesce(nullif(affiliations, ''), 'unknown') AS affiliations FROM scopus_rawdata WHERE affiliations IS NOT NULL",
     "fix_separators": _FIX,
     "std_address": _STANDARD,
     "inst_split": _SPLIT,
     "norm_issn": "SELECT pub_id, CASE WHEN d = '' THEN 'unknown' ELSE substr(d, 1, 4) || '-' || substr(d, 5) END AS issn FROM (SELECT pub_id, array_to_string(regexp_extract_all(issn, '^\\d{8}|\\d{4}|\\d{3}X'), '') AS d FROM articles WHERE issn IS NOT NULL)",
-    "norm_year": "SELECT pub_id, coalesce(TRY_CAST(trunc(TRY_CAST(volume AS DOUBLE)) AS INT), 0) AS number FROM articles WHERE volume IS NOT NULL",
+    "norm_year": "SELECT pub_id, coalesce(year, 0) AS year FROM articles WHERE year IS NOT NULL",
+    "norm_year_text": "SELECT pub_id, coalesce(TRY_CAST(trunc(TRY_CAST(volume AS DOUBLE)) AS INT), 0) AS number FROM articles WHERE volume IS NOT NULL",
     "norm_journal": f"SELECT pub_id, {journal('journal')} AS journal FROM articles WHERE journal IS NOT NULL",
     "norm_type": f"SELECT pub_id, {doc_type('document_type', False)} AS document_type FROM articles WHERE document_type IS NOT NULL",
     "norm_type_lower": f"SELECT pub_id, {doc_type('document_type', True)} AS document_type FROM articles WHERE document_type IS NOT NULL",
@@ -162,11 +263,14 @@ SQL = {
     "str_ascii": f"SELECT pub_id, {ascii_sql('title')} AS title FROM articles WHERE title IS NOT NULL",
     "str_standard": f"SELECT pub_id, idx_address, {standard('address')} AS address FROM address WHERE address IS NOT NULL",
     "unknown_address": "SELECT pub_id, idx_address || '_unknown, Unknown' AS address FROM address WHERE idx_address IS NOT NULL",
-    "agg_success": "SELECT 'keyword' AS item, round(100 * (1 - count(DISTINCT CASE WHEN coalesce(author_keywords, '') = '' THEN pub_id END) / count(DISTINCT pub_id)), 4) AS success_pct, array_to_string(list_transform(list_sort(coalesce(list(DISTINCT pub_id) FILTER (WHERE coalesce(author_keywords, '') = ''), [])), lambda x: CAST(x AS VARCHAR)), ',') AS failed FROM scopus_rawdata",
+    "agg_success": _success(True),
+    "agg_success_rows": _success(False),
+    "agg_failed": "SELECT DISTINCT 'keyword' AS item, pub_id FROM scopus_rawdata WHERE coalesce(author_keywords, '') = ''",
+    "flt_empty": "SELECT pub_id, author_keywords AS keyword FROM scopus_rawdata WHERE author_keywords <> ''",
     "agg_author_institutions": f"""SELECT pub_id, idx_author, array_to_string(list_sort(list(address)), '; ') AS address, array_to_string(list_sort(list(DISTINCT country)), '; ') AS country,
       array_to_string(list_sort(list(DISTINCT n)), '; ') AS norm_institutions, CASE WHEN count(*) > 1 THEN array_to_string(list_filter(list_sort(list(DISTINCT r)), lambda x: x <> 'empty'), '; ') ELSE max(r) END AS raw_institutions
       FROM ({FILLED}) GROUP BY 1, 2""",
-    "agg_title_keywords": f"WITH w AS ({TITLE_WORDS}) SELECT pub_id, keyword FROM w WHERE keyword IN (SELECT keyword FROM w GROUP BY 1 HAVING count(*) >= 3)",
+    "agg_title_keywords": f"WITH w AS ({TITLE_WORDS}) SELECT DISTINCT pub_id, keyword FROM w WHERE keyword IN (SELECT keyword FROM w GROUP BY 1 HAVING count(*) >= 3)",
     "agg_word_counts": f"SELECT keyword, count(*) AS n FROM ({TITLE_WORDS}) GROUP BY 1",
     "agg_first_known": f"""SELECT norm_journal, {known('issn', 'pub_id')} AS issn, {known('authors', 'pub_id', True)} AS longest_author
       FROM (SELECT pub_id, coalesce(norm_journal, 'unknown') AS norm_journal, coalesce(issn, 'unknown') AS issn, coalesce(authors, 'unknown') AS authors FROM articles) GROUP BY 1""",
@@ -174,14 +278,19 @@ SQL = {
       WHERE norm_institutions IS NOT NULL AND country IS NOT NULL) WHERE t NOT IN {_TYPES} GROUP BY 1""",
     "dedup_issn": f"WITH s0 AS ({PREPARED}) SELECT pub_id, issn FROM ({overwrite('s0', 'same_journal', 'issn', 'pub_id')})",
     "dedup_doi_by_title": f"WITH s0 AS ({PREPARED}) SELECT pub_id, doi FROM ({overwrite('s0', 'title_lc', 'doi', 'same_journal, pub_id')})",
+    "dedup_type": f"WITH s0 AS ({PREPARED}), k0 AS (SELECT * FROM s0 WHERE doi <> 'unknown') SELECT pub_id, document_type FROM ({overwrite('k0', 'doi', 'document_type', 'title_lc, same_journal, pub_id')}) UNION ALL SELECT pub_id, document_type FROM s0 WHERE doi = 'unknown'",
+    "dedup_type_compat": f"WITH s0 AS ({PREPARED}) SELECT pub_id, document_type FROM ({overwrite('s0', 'doi', 'document_type', 'title_lc, same_journal, pub_id')})",
     "dedup_cascade": CASCADE,
     "dedup_dropped_ids": f"SELECT pub_id FROM articles WHERE pub_id NOT IN (SELECT pub_id FROM ({CASCADE}))",
     "dedup_items": f"SELECT * FROM address WHERE pub_id NOT IN (SELECT pub_id FROM articles WHERE pub_id NOT IN (SELECT pub_id FROM ({CASCADE})))",
     "set_concat": "SELECT pub_id, title, doi FROM articles UNION ALL SELECT CAST(substr(ut, 5) AS BIGINT) + (SELECT max(pub_id) + 1 FROM articles), title, doi FROM wos_articles",
+    "set_concat_items": f"""WITH o AS (SELECT max(pub_id) + 1 AS o FROM articles), k AS ({KEYWORDS.format(c="author_keywords", strip=strip("lower(r)"))})
+      SELECT 'articles' AS item, pub_id, title AS value FROM articles UNION ALL SELECT 'articles', pub_id + o, title FROM scopus_rawdata, o UNION ALL SELECT 'keywords', pub_id, keyword FROM k WHERE pub_id % 2 = 0 UNION ALL SELECT 'keywords', pub_id + o, keyword FROM k, o
+      UNION ALL SELECT 'addresses', pub_id, concat_ws(' ', idx_address, address) FROM address UNION ALL SELECT 'addresses', pub_id + o, concat_ws(' ', 0, affiliations) FROM scopus_rawdata, o""",
     "set_difference": "SELECT pub_id FROM articles WHERE pub_id NOT IN (SELECT pub_id FROM scopus_rawdata WHERE pub_id IS NOT NULL)",
     "flt_drop_listed": "SELECT eid, pub_id FROM scopus_rawdata r WHERE NOT EXISTS (SELECT 1 FROM article_groups g WHERE g.pub_id = r.pub_id)",
     "fill_unknown": "SELECT pub_id, coalesce(journal, 'unknown') AS journal, coalesce(doi, 'unknown') AS doi, coalesce(issn, 'unknown') AS issn, coalesce(volume, 'unknown') AS volume FROM articles",
-    "pivot_flags": "SELECT pub_id, idx_author, address, country, norm_institutions, CAST(coalesce(contains(norm_institutions, 'Univ'), false) AS INT) AS is_univ, CAST(coalesce(contains(norm_institutions, 'Rto'), false) AS INT) AS is_rto FROM address_inst",
+    "pivot_flags": "SELECT *, CAST(coalesce(contains(norm_institutions, 'Univ'), false) AS INT) AS is_univ, CAST(coalesce(contains(norm_institutions, 'Rto'), false) AS INT) AS is_rto FROM address_inst",
     "join_subjects": f"""SELECT DISTINCT pub_id, replace(category, 'General', '') AS subject FROM (SELECT pub_id, CAST(unnest(codes) // 100 * 100 AS INT) AS code FROM ({_CODED})) JOIN (SELECT * FROM {_CODES}) USING (code) WHERE replace(category, 'General', '') <> ''""",
     "join_sub_subjects": f"SELECT DISTINCT pub_id, category AS sub_subject FROM (SELECT pub_id, unnest(codes) AS code FROM ({_CODED})) JOIN (SELECT * FROM {_CODES}) USING (code)",
 }

@@ -10,6 +10,7 @@ import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _stored: dict[int, tuple[weakref.ref, str]] = {}
@@ -75,3 +76,10 @@ def release(df: DataFrame) -> None:
         name = plan.rdd().getCheckpointFile().get()
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rows_and_bytes(df: DataFrame) -> tuple[int, int]:
+    """Rows of a table and bytes of its values as text."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in df.columns), F.lit(0))
+    n, total = df.agg(F.count("*"), F.sum(size)).first()
+    return n, total or 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Names of the item tables (fixed values).
 ITEMS = [
     "articles", "authors", "addresses", "countries", "institutions", "authors_institutions", "authors_keywords", "indexed_keywords", "title_keywords",
     "subjects", "sub_subjects", "references", "norm_institutions", "raw_institutions",
@@ -19,9 +20,9 @@ RAW_A_OPTIONAL = {"EID": "eid", "Author full names": "author_full_names"}
 # Header of the tab-separated export (fixed values).
 RAW_B = {
     "DE": "author_keywords", "AU": "authors", "AF": "author_full_names", "C1": "addresses", "DT": "document_type", "DI": "doi", "ID": "index_keywords", "SN": "issn", "SO": "source_title",
-    "LA": "language", "BP": "page_start", "CR": "cited_refs", "WC": "subjects", "SC": "sub_subjects", "TI": "title", "VL": "volume", "PY": "year",
+    "LA": "language", "BP": "page_start", "CR": "cited_refs", "WC": "subjects", "SC": "sub_subjects", "TI": "title", "VL": "volume", "PY": "year", "EI": "eissn",
 }
-RAW_B_OPTIONAL = {"EI": "eissn", "UT": "ut"}
+RAW_B_OPTIONAL = {"UT": "ut"}
 
 ARTICLES = T.StructType(
     [T.StructField("pub_id", T.LongType()), T.StructField("authors", T.StringType()), T.StructField("year", T.IntegerType())]

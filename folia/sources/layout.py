@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -14,6 +15,13 @@ class Layout:
     merged: tuple[str, ...] = ("concat", "dedup")
     names: dict[str, str] = field(default_factory=dict)
 
+    @classmethod
+    def from_json(cls, file: str) -> Layout:
+        """A layout from a file with the fields of this class; names that it lacks keep their defaults."""
+        with open(file, encoding="utf-8") as f:
+            given = json.load(f)
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in cls.__dataclass_fields__})
+
     def path(self, year: str, database: str, stage: str) -> str:
         return "/".join([self.root.rstrip("/"), year, "Corpus", self.names.get(database, database), self.names.get(stage, stage)])
 
