@@ -223,6 +223,7 @@ def author_institutions(rows: DataFrame, lookups: Lookups | None) -> DataFrame:
     if lookups is None:
         named = rows.withColumns({"norm_institutions": F.lit(EMPTY), "raw_institutions": F.lit(EMPTY)})
     else:
+        rows = store(rows)
         chunks = cut(affiliations_of(rows, lookups.towns, lookups.zips, drop=False))
         resolved = match_institutions(chunks, cut(lookups.words), lookups.types, ";").drop("country")
         named = rows.join(resolved, "address", "left")

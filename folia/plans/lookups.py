@@ -30,11 +30,13 @@ def category_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CATEGORIES, "code int, category string")
 
 
+ZIP_PLAIN = r"\b([a-z]{1,2})?[\s-]?(\d{4,6})\b"
+ZIP_COUNTRIES = ["France", "Germany", "Sweden", "China", "Italy", "Spain", "Japan", "Netherlands", "Switzerland", "Belgium", "Austria", "Greece", "Ireland", "Morocco", "Algeria", "Romania", "Portugal", "Hungary"]
+
+
 def zip_table(spark: SparkSession) -> DataFrame:
     """Patterns of postal codes by country, for countries without a rule of their own."""
-    plain = r"\b([a-z]{1,2})?[\s-]?(\d{4,6})\b"
-    listed = ["France", "Germany", "Sweden", "China", "Italy", "Spain", "Japan", "Netherlands", "Switzerland", "Belgium", "Austria", "Greece", "Ireland", "Morocco", "Algeria", "Romania", "Portugal", "Hungary"]
-    return spark.createDataFrame([(c, plain) for c in listed], "country string, pattern string")
+    return spark.createDataFrame([(c, ZIP_PLAIN) for c in ZIP_COUNTRIES], "country string, pattern string")
 
 
 def town_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from folia.functions import normalize as N
 from folia.functions.text import ascii_map
 from folia.operators.aggregate import STOP_WORDS
+from folia.operators import institutions as I
 from folia.operators.explode import SKIPPED_AUTHORS
-from folia.plans.lookups import CATEGORIES, JOURNALS, TYPES
+from folia.plans.lookups import CATEGORIES, JOURNALS, TYPES, ZIP_COUNTRIES, ZIP_PLAIN
 
 
 def q(text: str) -> str:
@@ -224,7 +225,78 @@ _FIX, _STANDARD = _fix(), _standard_address()
 _SPLIT = f"""SELECT address, array_to_string(list_transform(flatten(list_transform(k, lambda x: string_split_regex(x, ' - | \\| '))), lambda x: {strip('x')}), '|') AS chunks, k[-1] AS country
   FROM (SELECT address, list_filter(l, lambda x, i: NOT list_contains(l[i + 1:], x)) AS k FROM (SELECT DISTINCT address, list_transform(string_split(address, ','), lambda x: {strip('x')}) AS l FROM address WHERE address IS NOT NULL))"""
 
+_TOWNS = f"""SELECT country, {strip("replace(replace(translate(lower(town), '-''', '  '), ' lez ', ' les '), 'saint ', 'st ')")} AS town, town AS named FROM (SELECT town, country, row_number() OVER (PARTITION BY town ORDER BY n DESC, country DESC) AS r FROM (
+  SELECT town, country, count(*) AS n FROM (SELECT country, unnest(list_distinct(string_split_regex(address, '[^\\pL]+'))) AS town FROM address_inst WHERE address IS NOT NULL AND country IS NOT NULL)
+  WHERE town IN (SELECT string_split(canonical, ' ')[1] FROM canonical_values WHERE field_name = 'institution') GROUP BY 1, 2)) WHERE r = 1"""
+
+
+def _any_word(words: list[str]) -> str:
+    return q("(?:^|[^\\pL\\pN_])(?:" + "|".join(sorted({w.replace(".", r"\.") for w in words}, key=len, reverse=True)) + ")(?:[\\s)]|$|\\b)")
+
+
+def _kept_chunks() -> str:
+    """CTEs up to `affs` (address, country, l): the chunks of distinct standardised addresses that name institutions."""
+    prefixes, bounded = "|".join(I.KEEP_PREFIX), "|".join(x for x in I.DROP_SUFFIX if x[0] != "-")
+    m = lambda pattern: f"regexp_matches(c, {pattern if pattern[0] == chr(39) else q(pattern)})"
+    zips = " WHEN country IN " + listed(ZIP_COUNTRIES) + f" THEN {m(ZIP_PLAIN)}"
+    return f"""a AS (SELECT DISTINCT address FROM ({_STANDARD})), s1 AS (SELECT address, list_filter(l, lambda x, i: NOT list_contains(l[i + 1:], x)) AS k FROM (SELECT address, list_transform(string_split(address, ','), lambda x: {strip('x')}) AS l FROM a)),
+ s2 AS (SELECT address, k[-1] AS country, list_transform(flatten(list_transform(k, lambda x: string_split_regex(x, ' - | \\| '))), lambda x: {strip('x')}) AS chunks FROM s1),
+ s3 AS (SELECT address, country, len(chunks) AS n, i - 1 AS i, chunks[i] AS chunk, lower(trim(chunks[i])) AS c FROM (SELECT *, unnest(generate_series(1, len(chunks))) AS i FROM s2)),
+ s4 AS (SELECT *, {m(I.BOX)} AS bp, {m(f'\\b(?:{prefixes})-?\\d{{4}}\\b')} AS umr, CASE WHEN country = 'United Kingdom' THEN {m(I.ZIP_UK)} WHEN country IN ('United States', 'Canada') THEN {m(I.ZIP_STATES)}{zips} ELSE false END AS zip,
+  country IN {listed(['United Kingdom', 'United States', 'Canada', *ZIP_COUNTRIES])} AS known, {m(I.DIGITS)} AS num, {m(f'(?:\\B(?:{"|".join(I.DROP_SUFFIX)})\\b)|(?:\\b(?:{bounded})\\b)')} AS suffix,
+  (country, translate(c, '-''', '  ')) IN (SELECT (country, town) FROM ({_TOWNS})) AS town, {m(_any_word(I.DROP_WORDS_FRANCE))} OR (country <> 'France' AND {m(_any_word(I.DROP_WORDS))}) AS words,
+  country = 'France' AND {m(f'\\b(?:{prefixes})[\\s-]?\\d{{3,4}}\\b')} AS prefix, {m(_any_word(I.KEEP_GENERAL))} AS gen, {m(_any_word(I.KEEP_BASIC))} AS basic, {m(_any_word(I.KEEP_USER))} AS usr FROM s3),
+ s5 AS (SELECT *, known AND NOT umr AND (zip OR num) AS digits, gen OR basic OR usr AS held, gen OR usr AS strong FROM s4),
+ s6 AS (SELECT *, digits AND CASE WHEN country IN ('France', 'Algeria') THEN NOT prefix AND NOT held ELSE NOT strong OR words END AS dstop, NOT town AND NOT suffix AND words AND held AND NOT digits AS wkeep FROM s5),
+ s7 AS (SELECT *, NOT town AND NOT suffix AND words AND NOT wkeep AS wstop FROM s6),
+ s8 AS (SELECT *, bp OR dstop OR (town AND n - i - 1 <= 2) OR (NOT town AND suffix AND NOT strong) OR wstop AS stop,
+  NOT (bp OR digits OR suffix OR town OR words) OR (NOT bp AND NOT dstop AND ((digits AND NOT dstop AND NOT wstop) OR (NOT town AND suffix AND strong) OR wkeep)) AS keep FROM s7),
+ s9 AS (SELECT *, min(CASE WHEN i > 0 AND length(c) > 3 AND stop THEN i END) OVER (PARTITION BY address) AS till FROM s8),
+ affs AS (SELECT address, country, list(chunk ORDER BY i) FILTER (WHERE (i = 0 OR (length(c) > 3 AND keep AND (till IS NULL OR i <= till))) AND chunk NOT IN (country, 'England', 'Wales', 'North Ireland', 'Scotland', '')) AS l FROM s9 GROUP BY 1, 2)"""
+
+
+def _symbols(c: str) -> str:
+    return translated(c, N.CHUNK_SYMBOLS)
+
+
+def _alias_words() -> str:
+    """CTE `words` (country, norm_aff, w): the sets of words that aliases ask for."""
+    text = "alias"
+    for word, pattern in N.ADDRESS_WORDS.items():
+        text = f"regexp_replace({text}, {q(pattern)}, {q(word + ' ')}, 'g')"
+    text = f"lower(regexp_replace(regexp_replace({text}, '\\s+', ' ', 'g'), '\\s,', ',', 'g'))"
+    text = strip(translated(_symbols(translated(translated(text, N.DASHES), N.QUOTES)), N.DROPPED_SYMBOLS))
+    return f"""towns AS (SELECT country, named FROM ({_TOWNS})), listed AS (SELECT canonical AS norm_aff, string_split(canonical, ' ') AS p FROM canonical_values WHERE field_name = 'institution'),
+ aliases AS (SELECT country, norm_aff, unnest(list_distinct([norm_aff, array_to_string(list_concat(p[:-2], [CASE WHEN p[-1] = 'Univ' THEN 'University' ELSE p[-1] END]), ' ')])) AS alias FROM listed JOIN towns ON p[1] = named),
+ texts AS (SELECT country, norm_aff, {text} AS t FROM aliases), split AS (SELECT *, list_distinct(string_split(t, ' ')) AS d FROM texts),
+ words AS (SELECT country, norm_aff, list_filter(d, lambda x: x <> '' AND x NOT IN {listed(I.SMALL_WORDS)}) AS w FROM split UNION ALL SELECT country, norm_aff, [replace(t, ' ', '')] FROM split WHERE len(d) = 2 AND len(list_filter(d, lambda x: x IN {listed(I.ACRONYMS)})) > 0)"""
+
+
+_KEPT = _kept_chunks()
+_MATCHED = f"""{_KEPT}, {_alias_words()}, each AS (SELECT address, country, i, l[i] AS chunk, list_filter(list_distinct(string_split_regex(lower({_symbols('l[i]')}), '[\\s)]+')), lambda x: x <> '') AS tokens FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM affs)),
+ found AS (SELECT DISTINCT address, i, norm_aff FROM each e JOIN words w USING (country) WHERE len(w.w) > 0 AND list_has_all(e.tokens, w.w)),
+ norms AS (SELECT address, list(norm_aff ORDER BY level NULLS FIRST, norm_aff) AS l FROM (SELECT DISTINCT address, norm_aff FROM found) LEFT JOIN (VALUES {', '.join(f"({q(t)}, {n})" for t, n in TYPES)}) AS t(kind, level) ON string_split(norm_aff, ' ')[-1] = kind GROUP BY 1),
+ named AS (SELECT address, list_filter(l, lambda x: x <> 'Paris-Cité Univ' OR len(list_filter(l, lambda y: contains(y, 'Univ') AND contains(y, 'Paris'))) < 2) AS l FROM norms),
+ raws AS (SELECT address, list(CASE WHEN country IN (SELECT country FROM words) THEN {_symbols('chunk')} ELSE chunk END ORDER BY i) AS l FROM each WHERE (address, i) NOT IN (SELECT (address, i) FROM found) GROUP BY 1),
+ done AS (SELECT affs.address, affs.country, coalesce(nullif(array_to_string(named.l, '; '), ''), 'empty') AS norm, coalesce(nullif(array_to_string(raws.l, '; '), ''), 'empty') AS raw FROM affs LEFT JOIN named USING (address) LEFT JOIN raws USING (address)),
+ rows AS (SELECT DISTINCT pub_id, idx_address, address FROM ({_STANDARD}))"""
+
+_ALL_CHUNKS = (
+    _MATCHED.replace(_STANDARD, f"SELECT address FROM ({_AUTHORS_A})", 1).replace("(i = 0 OR (length(c) > 3 AND keep AND (till IS NULL OR i <= till))) AND ", "", 1)
+    .replace("array_to_string(named.l, '; ')", "array_to_string(named.l, ';')", 1).replace("array_to_string(raws.l, '; ')", "array_to_string(raws.l, ';')", 1).rsplit(", rows AS (", 1)[0].rstrip().rstrip(",")
+)
+_AUTHOR_INSTITUTIONS = f"""{_ALL_CHUNKS}, own AS ({_AUTHORS_A}), filled AS (SELECT pub_id, idx_author, o.address, o.country, norm AS n, raw AS r FROM own o LEFT JOIN done USING (address))
+ SELECT pub_id, idx_author, array_to_string(list_sort(list(address)), '; ') AS address, array_to_string(list_sort(list(DISTINCT country)), '; ') AS country, array_to_string(list_sort(list(DISTINCT n)), '; ') AS norm_institutions,
+  CASE WHEN count(*) > 1 THEN array_to_string(list_filter(list_sort(list(DISTINCT r)), lambda x: x <> 'empty'), '; ') ELSE max(r) END AS raw_institutions FROM filled GROUP BY 1, 2"""
+
 SQL = {
+    "exp_author_institutions": f"WITH {_AUTHOR_INSTITUTIONS}",
+    "inst_affiliations": f"WITH {_KEPT} SELECT address, country, coalesce(array_to_string(l, '|'), '') AS affiliations FROM affs",
+    "inst_words": f"WITH {_alias_words()} SELECT country, norm_aff, array_to_string(list_sort(w), ' ') AS words FROM words",
+    "inst_norm": f"WITH {_MATCHED} SELECT pub_id, idx_address, norm AS institution FROM rows JOIN done USING (address)",
+    "inst_raw": f"WITH {_MATCHED} SELECT pub_id, idx_address, raw AS institution, address FROM rows JOIN done USING (address)",
+    "inst_countries": f"WITH {_MATCHED} SELECT pub_id, idx_address, {country('country')} AS country FROM rows JOIN done USING (address)",
+    "flt_valid_affiliations_strict": f"""SELECT eid, coalesce(nullif(array_to_string(list_filter(string_split(affiliations, '; '), lambda x: ({country(strip("string_split(x, ', ')[-1]"))}) <> 'Unknown'), '; '), ''), 'unknown') AS affiliations FROM scopus_rawdata WHERE affiliations IS NOT NULL""",
     "exp_authors": f"""SELECT pub_id, CAST(i - 1 AS INT) AS idx_author, l[i] AS co_author FROM (SELECT pub_id, l, unnest(generate_series(1, len(l))) AS i FROM (
       SELECT pub_id, list_filter(list_transform(string_split(authors, CASE WHEN contains(authors, ';') THEN ';' ELSE ',' END), lambda x: replace(x, '.', '')), lambda x: x NOT IN {listed(SKIPPED_AUTHORS)}) AS l
       FROM (SELECT pub_id, coalesce(authors, 'unknown') AS authors FROM scopus_rawdata)))""",
