@@ -93,12 +93,15 @@ def _own(rest: Column, bare: Column) -> Column:
     return rest.contains(bare) & (F.trim(bare) != "")
 
 
+# The arrays below are never empty; the outer forms of explode keep Spark from testing that by computing them twice.
+
+
 def addresses_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> dict[str, DataFrame]:
     """addresses, countries, institutions of the first source; an author without a listed affiliation gets an unknown address."""
     cells = _cells_a(rows, pub_id, affiliations, authors)
     lost = F.filter("_authors", lambda e: ~F.exists("_bare", lambda s: _own(e["rest"], s)))
     every = F.concat("_raw", F.transform(lost, lambda e: unknown_address(e["i"])))
-    return _address_tables(cells.select(pub_id, F.posexplode(every).alias("idx_address", "address")), pub_id)
+    return _address_tables(cells.select(pub_id, F.posexplode_outer(every).alias("idx_address", "address")), pub_id)
 
 
 def _bracketed(c: Column) -> Column:
@@ -115,17 +118,17 @@ def addresses_b(rows: DataFrame, pub_id: str, cell: str, full_names: str) -> dic
     missing = F.filter(F.transform("_n", lambda x, i: F.struct(x.alias("n"), i.alias("i"))), lambda e: ~F.array_contains(named, e["n"]))
     with_brackets = F.concat(F.transform("_b", lambda g: g["address"]), F.transform(missing, lambda e: unknown_address(e["i"])))
     parts = F.when(F.col("_c").contains("["), with_brackets).otherwise(F.transform(F.split("_c", ";"), strip))
-    return _address_tables(read.select(pub_id, F.posexplode(standard_addresses(parts, False)).alias("idx_address", "address")), pub_id)
+    return _address_tables(read.select(pub_id, F.posexplode_outer(standard_addresses(parts, False)).alias("idx_address", "address")), pub_id)
 
 
 def author_addresses_a(rows: DataFrame, pub_id: str, affiliations: str, authors: str) -> DataFrame:
     """(pub_id, idx_author, address, country): the affiliations that each author's text holds, standardised."""
     cells = _cells_a(rows, pub_id, affiliations, authors).withColumn("_full", standard_addresses(F.col("_raw")))
     listed = F.arrays_zip("_bare", "_full")
-    each = cells.select(pub_id, listed.alias("_l"), F.explode("_authors").alias("_a"))
+    each = cells.select(pub_id, listed.alias("_l"), F.explode_outer("_authors").alias("_a"))
     own = F.transform(F.filter("_l", lambda x: _own(F.col("_a.rest"), x["_bare"])), lambda x: x["_full"])
     held = each.select(pub_id, F.col("_a.i").alias("idx_author"), own.alias("_own"))
-    out = held.select(pub_id, "idx_author", F.explode(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.array(unknown_address(F.col("idx_author"), True)))).alias("address"))
+    out = held.select(pub_id, "idx_author", F.explode_outer(F.when(F.size("_own") > 0, F.col("_own")).otherwise(F.array(unknown_address(F.col("idx_author"), True)))).alias("address"))
     return out.withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
 
 
@@ -138,7 +141,7 @@ def author_addresses_b(rows: DataFrame, pub_id: str, cell: str, full_names: str)
     placed = given.select(pub_id, "_n", F.filter(pairs, lambda e: e["idx_author"] >= 0).alias("_p"))
     lost = F.filter(F.transform("_n", lambda n, i: i), lambda i: ~F.exists("_p", lambda e: e["idx_author"] == i))
     every = F.concat("_p", F.transform(lost, lambda i: F.struct(i.cast("int").alias("idx_author"), unknown_address(i, True).alias("address"))))
-    listed = placed.select(pub_id, F.inline(every)).withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
+    listed = placed.select(pub_id, F.inline_outer(every)).withColumn("country", normalize_country(F.element_at(_chunks(F.col("address")), -1)))
     none = read.filter(~F.col("_c").contains("[")).select(pub_id, F.lit(0).alias("idx_author"), F.lit(UNKNOWN).alias("address"), F.lit(UNKNOWN).alias("country"))
     return listed.unionByName(none)
 

@@ -206,6 +206,7 @@ class Lookups(NamedTuple):
 
 def build_institutions(addresses: DataFrame, lookups: Lookups) -> dict[str, DataFrame]:
     """countries, norm_institutions, raw_institutions of an address table (pub_id, idx_address, address), addresses standardised."""
+    addresses = store(addresses)
     resolved = match_institutions(cut(affiliations_of(addresses, lookups.towns, lookups.zips)), cut(lookups.words), lookups.types)
     rows = addresses.join(resolved, "address")
     return {
