@@ -60,7 +60,7 @@ def split_address(address: Column) -> tuple[Column, Column]:
 
 
 def chunk_flags(chunk: Column, country: Column, is_town: Column, zip_pattern: Column) -> Column:
-    """What speaks for dropping or keeping a chunk (lower case, no accents)."""
+    """What speaks for dropping or keeping a chunk (lower case, no accents). The patterns are fixed forms."""
     france = country == "France"
     prefix = chunk.rlike(r"\b(?:" + "|".join(KEEP_PREFIX) + r")-?\d{4}\b")
     zip_hit = F.when(country == "United Kingdom", chunk.rlike(ZIP_UK)).when(country.isin("United States", "Canada"), chunk.rlike(ZIP_STATES)).otherwise(F.coalesce(F.expr("false") | F.regexp_like(chunk, F.coalesce(zip_pattern, F.lit("(?!)"))), F.lit(False)))
