@@ -261,7 +261,9 @@ def trie_join(surnames: DataFrame) -> DataFrame:
         pairs = {(min(a, b), max(a, b)) for x, y in zip(i, j, strict=True) if (a := turn(queries[x])) != (b := turn(trie.entries[y]))}
         return pd.DataFrame(sorted(pairs), columns=["a", "b"], dtype=object)
 
-    return grid.groupBy("shard", "e", "q").applyInPandas(search, "a string, b string").distinct()
+    parts = 4 * max(int(grid.sparkSession.conf.get("spark.sql.shuffle.partitions")), grid.sparkSession.sparkContext.defaultParallelism)
+    spread = grid.repartition(parts, "shard", "e", "q")  # small data, much work: not to be put together into few tasks
+    return spread.groupBy("shard", "e", "q").applyInPandas(search, "a string, b string").distinct()
 
 
 def letter_model(surnames: DataFrame) -> dict[str, float]:

@@ -15,7 +15,7 @@ from folia.llm.lookalikes import find_lookalikes
 from folia.llm.matching import match_sources
 from folia.llm.names import link_names, names_with_affiliations
 from folia.llm.packing import pack_documents
-from folia.llm.places import link_addresses
+from folia.llm.places import link_addresses, place_of
 from folia.llm.spam import find_spam
 from folia.runtime import read
 
@@ -81,9 +81,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_names(names)
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p6_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.col("address").isNotNull() & ~F.lower(F.trim("address")).rlike(r"^(?:\d+_)?unknown$|^empty$|^$")
-    return link_addresses(read(spark, sf_dir, "address").select("address").filter(known))
+    return read(spark, sf_dir, "address").select("address").filter(known)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_addresses(_p6_addresses(spark, sf_dir))
+
+
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address with the number of its place."""
+    return place_of(_p6_addresses(spark, sf_dir))
 
 
 def _p7_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
