@@ -287,7 +287,8 @@ def _evidence(model: dict[str, float], nick: dict[str, str]):
     def run(a: pd.Series, na: pd.Series, ga: pd.Series, b: pd.Series, nb: pd.Series, gb: pd.Series) -> pd.DataFrame:
         out = []
         for x, nx, gx, y, ny, gy in zip(a, na, ga, b, nb, gb, strict=True):
-            flip = (ny, x) > (nx, y)
+            # the rarer form was typed; of two equally rare ones that with the odder letters
+            flip = ny > nx or (ny == nx and (oddness(model, y), x) > (oddness(model, x), y))
             base, typed, n = (y, x, nx) if flip else (x, y, ny)
             kind = slip(base, typed)
             if not kind and nx == ny and (kind := slip(typed, base)):
