@@ -8,6 +8,8 @@ step costs a few vector operations for all of them together. Strings over 62 cha
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 
 LIMIT = 62
@@ -136,11 +138,10 @@ class LevTrie:
                 cand.append((alive[near], np.full(int(near.sum()), lo)))
                 continue
             col = e[lo:hi, depth] if depth < width_e else np.zeros(hi - lo, np.int32)
-            starts = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-            ends = np.r_[starts[1:], hi - lo]
+            edges = [0, *(np.flatnonzero(col[1:] != col[:-1]) + 1).tolist(), hi - lo]
             bm = mask[before][alive] if before else None
             fl = full[alive]
-            for s, t in zip(starts, ends, strict=True):
+            for s, t in pairwise(edges):
                 c = int(col[s])
                 if c == 0:
                     hit = np.full(len(alive), k + 1)

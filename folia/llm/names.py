@@ -34,6 +34,7 @@ from folia.runtime import cut
 
 BLOCK = 20_000
 NICK_LIMIT = 100_000
+FEW = 30  # names of a shard that meet each other without a trie
 BELIEF = 0.5
 PARTICLES = {"von", "van", "der", "den", "de", "del", "della", "di", "da", "du", "la", "le", "al", "el", "ter", "ten", "zu", "zur", "dos", "das", "bin", "ibn", "st"}
 TITLES = {"dr", "prof", "professor", "mr", "mrs", "ms", "sir", "phd", "md"}
@@ -253,6 +254,10 @@ def trie_join(surnames: DataFrame) -> DataFrame:
 
     def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         shard, e, q = key
+        if len(part) <= FEW:  # a trie would cost more than it saves
+            names = sorted(set(part["surname"]))
+            close = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :] if abs(len(a) - len(b)) < 2 and distance(a, b, 1) <= 1]
+            return pd.DataFrame(close, columns=["a", "b"], dtype=object)
         turn = (lambda x: x[::-1]) if shard[0] == "s" else (lambda x: x)
         entries = [turn(x) for x in part.loc[part["own"] == e, "surname"]]
         queries = [turn(x) for x in part.loc[part["own"] == q, "surname"]]
