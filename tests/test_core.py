@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import random
 import unicodedata
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +182,32 @@ def test_similar_pairs_are_all_pairs(spark, monkeypatch):
     assert {(r.a, r.b) for r in dedup.similar_pairs(values).collect()} == want
 
 
+def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghiklmnoprstuvwyz") for _ in range(160))
+    texts = sorted(text[k:] + text[:k] for k in range(0, 160, 8))  # rotations: the same pairs of letters, most of them too far away
+    size = len(texts)
+    part = pd.DataFrame({"cell": "x", "side": [0] * size + [1] * size, "value": texts * 2, "first": [*range(size)] * 2})
+    compared, common = [], dedup._common
+    monkeypatch.setattr(dedup, "_common", lambda *given: compared.append(given[1].shape[-1]) or common(*given))
+    got = dedup._near(part).drop_duplicates()
+    want = {(a, b) for a, b in itertools.combinations(texts, 2) if dedup.similar(a, b)}
+    assert want and want <= set(zip(got["a"], got["b"], strict=True)) and sum(compared) <= size * (size - 1) // 2 * 0.6
+
+
+def test_hashed_pairs_of_letters_are_bounds():
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcé\u4e00 ") for _ in range(n)) for n in (0, 1, 2, 31, 64, 65, 90, 200)]
+    for far in (0, 5, 40):
+        segments, around = dedup._placed(texts, 0), dedup._placed(texts, far)
+        for i, a in enumerate(texts):
+            lost = max(len(a) - 1, 0) - int(np.bitwise_count(segments[i]).sum())
+            for j, b in enumerate(texts):
+                shared = sum(a[k : k + 2] == b[k : k + 2] for k in range(min(len(a), len(b)) - 1))  # at the same place, so near enough
+                assert int(np.bitwise_count(segments[i] & around[j]).sum()) + lost >= shared
+                assert float(dedup._profiles(texts)[i] @ dedup._profiles(texts)[j]) >= shared
+
+
 def test_lookups_and_sets(spark, rows):
     a = spark.createDataFrame([(1, "Letters in Digital Enzyme Kinetics", "x"), (2, "zzz", "9011-0072"), (3, None, None)], "pub_id long, journal string, issn string")
     coded = joins.journal_categories(a, journal_table(spark), "pub_id", "journal", "issn")
