@@ -195,6 +195,40 @@ def test_few_pairs_are_compared_letter_by_letter(monkeypatch):
     assert want and want <= set(zip(got["a"], got["b"], strict=True)) and sum(compared) <= size * (size - 1) // 2 * 0.6
 
 
+def test_pairs_that_fall_short_are_given_up(monkeypatch):
+    def common(x, y, far):
+        row = [0] * (len(y) + 1)
+        for i, c in enumerate(x):
+            row, above = [0], row
+            for j, d in enumerate(y):
+                row.append(above[j] + 1 if c == d and abs(i - j) <= far else max(above[j + 1], row[j]))
+        return row[-1]
+
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choice("abcdefg ") for _ in range(n))
+    base = made(150)
+    a = [made(n) for n in (1, 63, 64, 65, 128, 140)] + [base[k:] for k in range(0, 40, 5)]
+    b = [made(n) for n in (2, 60, 64, 90, 130)] + [base[:k] + "x" + base[k + 2 :] for k in range(0, 150, 7)]
+    codes = {c: k for k, c in enumerate(sorted(set("".join(b))), 1)}
+    letters = np.zeros((max(map(len, b)), len(b)), np.int64)
+    for k, text in enumerate(b):
+        letters[: len(text), k] = [codes[c] for c in text]
+    masks = dedup._masks(a, codes, 3)
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij"))
+    at, sizes = x * (len(codes) + 1), np.array([len(b[k]) for k in y])
+    taken, take = [], np.take
+    monkeypatch.setattr(dedup.np, "take", lambda *given, **more: taken.append(len(given[1])) or take(*given, **more))
+    for far in (3, 20, 70, None):
+        want = np.array([common(a[p], b[q], 999 if far is None else far) for p, q in zip(x, y, strict=True)])
+        taken.clear()
+        assert (dedup._common(masks, at, letters, y, far) == want).all()
+        n = sum(taken)
+        needed = 0.4025 * (np.array([len(a[k]) for k in x]) + sizes)
+        taken.clear()
+        got = dedup._common(masks, at, letters, y, far, needed, sizes)
+        assert ((got >= needed) == (want >= needed)).all() and (got <= want).all() and sum(taken) < 0.9 * n
+
+
 def test_hashed_pairs_of_letters_are_bounds():
     rng = random.Random(6)
     texts = ["".join(rng.choice("abcé\u4e00 ") for _ in range(n)) for n in (0, 1, 2, 31, 64, 65, 90, 200)]
